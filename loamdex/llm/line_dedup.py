@@ -222,3 +222,11 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     answers = probes.groupBy("shard").applyInArrow(answered, "block int, a long, b long, owner long")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name != block)
     return dealt.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(rebuilt, schema + ", n_lines long, n_dropped long")
+
+
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """line_dedup() with the columns of docs; n_chars, if there is such a column, follows the texts that changed."""
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    out = line_dedup(docs.select(*(F.col(f"`{c}`") for c in own)), min_chars)
+    size = F.when(F.col("n_dropped") > 0, F.length("text"))
+    return out.select(*(F.coalesce(size, F.col(f"`{c}`")).cast(docs.schema[c].dataType).alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`") for c in own))

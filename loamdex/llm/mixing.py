@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import keyed, stored
+from loamdex.llm.common import fresh, keyed, stored
 from loamdex.llm.textops import NOT_SPACE, blocks, runs
 
 WEIGHTS = (5, 2, 1)
@@ -178,3 +178,16 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
         return part.drop_columns(["shard", "shard_quota"]).append_column("taken", pa.array(taken, pa.int64()))
 
     return full.groupBy("source", "shard").applyInArrow(take, "doc_id long, source string, size long, source_size long, target double, taken long")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs that the mix takes words of, with size, target and taken (columns of these names are replaced).
+
+    Options are those of mix_sources().  Rows that share an id, or have none,
+    each get the largest share of their id.
+    """
+    id_, size, target, taken = (fresh(docs.columns, c) for c in ("mix_id", "mix_size", "mix_target", "mix_taken"))
+    mix = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("size").alias(size), F.max("target").alias(target), F.max("taken").alias(taken))
+    names = [c for c in docs.columns if c.lower() not in ("size", "target", "taken")]
+    joined = docs.join(mix, docs["doc_id"].cast("bigint").eqNullSafe(F.col(id_)))
+    return joined.select(*(F.col(f"`{c}`") for c in names), F.col(size).alias("size"), F.col(target).alias("target"), F.col(taken).alias("taken"))

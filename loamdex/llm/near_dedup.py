@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.common import fresh, keyed, stored
@@ -328,8 +328,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, that with the least doc_id; same columns."""
-    name = fresh(docs.columns, "duplicate_id")
-    gone = near_duplicates(docs, shingle, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("bigint") == F.col(name), "left_anti")
+    """docs with one row of each component, of the document with the least doc_id; same columns.
+
+    Of rows that share this id one stays, the one whose text sorts first.  Rows
+    with a null id all stay.
+    """
+    name, row = fresh(docs.columns, "duplicate_id"), fresh(docs.columns, "row_of_id")
+    found = stored(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "kept")
+    own = docs["doc_id"].cast("bigint")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, own == F.col(name), "left_anti")
+    repeated = stored(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(name), "repeated")
+    if repeated.limit(1).count():
+        first = Window.partitionBy(own).orderBy("text", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+        several = kept.join(repeated, own == F.col(name), "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1)
+        kept = kept.join(repeated, own == F.col(name), "left_anti").unionByName(several.drop(row))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
