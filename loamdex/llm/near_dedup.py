@@ -34,10 +34,10 @@ from loamdex.llm.textops import NOT_SPACE, Block, blocks, mix, windows, words
 
 #: Registers, their base and their greatest value less one; rows of a band.  A pair at similarity 0.8 is missed by all 48 bands once in 2 million.
 REGISTERS, BASE, LIMIT, ROWS = 288, 1.001, 65534, 6
-#: Members of a block that is verified, or compared by likelihood, at once.
-BLOCK_DOCS = 192
+#: Members of a block that is verified at once, and of one that is compared by likelihood.
+BLOCK_DOCS, BLOCK_SKETCHES = 192, 2048
 #: A pair is dropped if its registers are e^SLACK times likelier at the best similarity under the threshold than at any from it on.
-SLACK = 16.0
+SLACK = 14.0
 SHINGLE, PERCENT = 5, 80
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond, a join shuffles.
 BROADCAST_IDS = 2_000_000
@@ -184,20 +184,23 @@ def exact_links(sets: list[np.ndarray], percent: int, labels: np.ndarray | None
 
 
 def possible_links(sketches: np.ndarray, sizes: np.ndarray, labels: np.ndarray, percent: int, split: int | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with different labels that may be links."""
-    count, forest, out = len(sketches), Forest(len(sketches)), []
-    for i in range(count - 1):
-        if split is not None and i >= split:
-            break
-        others = np.arange(i + 1 if split is None else split, count)
-        others = others[labels[others] != labels[i]]
-        # sizes alone rule out many
-        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-        others = others[100 * small >= percent * large]
-        others = others[(sketches[others] == sketches[i]).mean(axis=1) > percent / 100 - 0.35] if len(others) else others
-        if len(others):
-            passed = may_link(np.broadcast_to(sketches[i], (len(others), sketches.shape[1])), sketches[others], np.full(len(others), sizes[i]), sizes[others], percent)
-            out += [(i, j) for j in others[passed].tolist() if forest.join(i, j)]
+    """A spanning forest, over labels, of the pairs with different labels that may be links.  split: as in exact_links()."""
+    count, out = len(sketches), []
+    _, number = np.unique(labels, return_inverse=True)
+    forest = Forest(int(number.max()) + 1 if count else 0)
+    rows, least = (count - 1 if split is None else split), (percent / 100 - 0.35) * sketches.shape[1]
+    slab = max(1, 16_384 // max(1, count))
+    for at in range(0, rows, slab):
+        i, j = np.divmod(np.arange(min(slab, rows - at) * count), count)
+        i = i + at
+        fits = (j > i if split is None else j >= split) & (labels[i] != labels[j])
+        fits &= 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])  # sizes alone rule out many
+        i, j = i[fits], j[fits]
+        fits = (sketches[i] == sketches[j]).sum(axis=1) > least
+        i, j = i[fits], j[fits]
+        if len(i):
+            passed = may_link(sketches[i], sketches[j], sizes[i], sizes[j], percent)
+            out += [(x, y) for x, y in zip(i[passed].tolist(), j[passed].tolist(), strict=True) if forest.join(int(number[x]), int(number[y]))]
     return out
 
 
@@ -245,9 +248,9 @@ def _verified(docs: DataFrame, rows: DataFrame, keys: list[str], n: int, percent
     return _texts_of(docs, rows).groupBy(*keys).applyInArrow(verify, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+def _block_pairs(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
     """rows (keys, id, ...) dealt to every pair of blocks (x, y), x <= y, of their group; side is 1 for the rows of y where x < y."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("of"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("of"))
     dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("of")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     return dealt.select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "of")
@@ -300,26 +303,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     links = stored(_verified(known, rows.select("*", F.lit(0).alias("side"), F.col("id").alias("label")), ["lead", "x"], shingle, percent), "links")
     labels = components(links)
 
-    # Buckets that still hold several components.
-    mixed = members.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    open_ = mixed.groupBy("bucket").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p < q").select("bucket")
-    mixed = stored(_block_pairs(mixed.join(open_, "bucket"), ["bucket"]), "mixed")
+    # Buckets that still hold several components, and pairs that their leader's blocks did not compare: those of
+    # members that fell short of the leader, or that lie in different blocks.  Of buckets with the same members one is enough.
+    whole = pairs.join(counts.where("of = 1").select("lead"), "lead", "left_semi").select("lead", "id", F.lit(1).alias("met"))
+    mixed = members.join(labels, "id", "left").join(whole, ["lead", "id"], "left")
+    mixed = mixed.select("bucket", "id", F.coalesce("component", "id").alias("label"), (F.col("met").isNull() & (F.col("id") != F.col("lead"))).cast("int").alias("apart"))
+    open_ = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("apart").alias("apart"), F.min("label").alias("p"), F.max("label").alias("q"), *(F.sum(F.xxhash64("id", F.lit(k)) % (1 << 40)).alias(f"sum{k}") for k in (4, 5)))
+    open_ = open_.where("size > 2 and apart > 0 and p < q").groupBy("size", "sum4", "sum5").agg(F.min("bucket").alias("bucket")).select("bucket")
+    mixed = stored(_block_pairs(mixed.join(open_, "bucket").select("bucket", "id", "label"), ["bucket"], BLOCK_SKETCHES), "mixed")
 
     def maybe(part: pa.Table) -> pa.Table:
         part = part.sort_by([("side", "ascending"), ("id", "ascending")])
         ids, split = part["id"].to_numpy(), int((part["side"].to_numpy() == 0).sum())
-        found = possible_links(_matrix(part["sketch"]), part["n"].to_numpy(), part["label"].to_numpy(), percent, split if split < len(ids) else None)
         label = part["label"].to_numpy()
-        return pa.table({"a": _ints([ids[i] for i, _ in found]), "b": _ints([ids[j] for _, j in found]), "p": _ints([label[i] for i, _ in found]), "q": _ints([label[j] for _, j in found])})
+        found = possible_links(_matrix(part["sketch"]), part["n"].to_numpy(), label, percent, split if split < len(ids) else None)
+        return pa.table({"a": _ints([label[i] for i, _ in found]), "b": _ints([label[j] for _, j in found])})
 
-    chances = stored(mixed.join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long, p long, q long"), "chances")
+    chances = stored(mixed.join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long"), "chances")
     if chances.limit(1).count():
-        # A pair that a block has verified or refuted may come again; only components matter.
-        groups = components(chances.select("a", "b").unionByName(chances.select("a", F.col("p").alias("b"))).unionByName(chances.select("b", F.col("q").alias("a"))))
-        ends = chances.select(F.col("a").alias("id"), F.col("p").alias("label")).unionByName(chances.select(F.col("b").alias("id"), F.col("q").alias("label"))).distinct()
-        rows = _block_pairs(ends.join(groups, "id").withColumnRenamed("component", "lead"), ["lead"])
-        more = _verified(known, rows, ["lead", "x", "y"], shingle, percent)
-        labels = components(links.unionByName(more))
+        # Components that a possible link joins make a group; its members that met in such buckets are compared, but for what is one component already.
+        groups = components(chances).select(F.col("id").alias("label"), F.col("component").alias("lead"))
+        ends = stored(mixed.select("id", "label").distinct().join(groups, "label"), "ends")
+        more = _verified(known, _block_pairs(ends, ["lead"], BLOCK_DOCS), ["lead", "x", "y"], shingle, percent)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     linked = nodes.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
     out = base.select("doc_id", "n", "a", "b").join(linked, ["a", "b", "n"], "left")
