@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import keyed
+from loamdex.llm.common import keyed, stored
 
 
 @dataclass(frozen=True)
@@ -117,17 +117,25 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     spans; an empty table gives no rows; rows that repeat are all kept.  A
     column called spans is replaced.
     """
-    new = scan_new(versions, ledger, rules)
+    # Written once: a plan that goes on from here would evaluate the scan again for each use of it.
+    new = stored(scan_new(versions, ledger, rules), "ledger")
     rows = new.select("blob", "found")
     if ledger is not None:
         wanted = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("rule", "spans"))).alias("old"))
-        rows = rows.join(wanted, "blob", "full").select("blob", F.map_concat(F.coalesce("found", F.create_map().cast("map<string,array<struct<start:int,end:int>>>")), F.coalesce("old", F.create_map().cast("map<string,array<struct<start:int,end:int>>>"))).alias("found"))
-    parts = [F.transform(F.coalesce(F.col("found")[r.key], F.array().cast("array<struct<start:int,end:int>>")), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"))) for i, r in enumerate(rules)]
+        empty = F.create_map().cast("map<string,array<struct<start:int,end:int>>>")
+        rows = rows.join(wanted, "blob", "full").select("blob", F.map_concat(F.coalesce("found", empty), F.coalesce("old", empty)).alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def of_kind(i: int) -> Column:
+        found = F.coalesce(F.col("found")[rules[i].key], none)
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
+
+    parts = [of_kind(i) for i in range(len(rules))]
     spans = rows.select("blob", F.sort_array(F.concat(*parts)).alias("spans")).where(F.size("spans") > 0)
     names = [c for c in versions.columns if c.lower() != "spans"]
     joined = versions.select(*(F.col(f"`{c}`") for c in names), address(F.col("text")).alias("__blob")).join(spans.withColumnRenamed("blob", "__found"), F.col("__blob") == F.col("__found"), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return joined.select(*(F.col(f"`{c}`") for c in names), F.coalesce("spans", none).alias("spans")), ledger_rows(new)
+    nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return joined.select(*(F.col(f"`{c}`") for c in names), F.coalesce("spans", nothing).alias("spans")), ledger_rows(new)
 
 
 def digest_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
