@@ -27,7 +27,7 @@ SHARE = 1.5
 LIMIT = 2.0
 SEED = 20
 #: Documents of a shard, about; and blocks of the whole mix, about.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 2_000
 BLOCKS = 1 << 20
 #: One row a source goes through the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
