@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
         marked = marked.withColumnRenamed("labelled", "doc_id").where(usable).withColumnRenamed("doc_id", "labelled")
     share = min(1.0, sample_rows / max(1, marked.count()))
     picked = marked.where(F.pmod(F.xxhash64("labelled", F.lit(6)), F.lit(1 << 20)) < share * (1 << 20))
-    rows = _features(docs.join(picked, docs.doc_id == picked.labelled).select("text", "quality")).collect()
+    # About sample_rows short rows at most, so they are broadcast, and no text is shuffled.
+    rows = _features(docs.join(F.broadcast(picked), docs.doc_id == picked.labelled).select("text", "quality")).collect()
     x = np.array([r.features for r in rows]).reshape(len(rows), len(FEATURES))
     order = np.lexsort(x.T)
     return fit(x[order], np.array([r.quality for r in rows], float)[order])
