@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
     conf = spark.sparkContext.getConf()
@@ -31,6 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for the session: by default long texts make batches of a GB, which JVM and Python both hold."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """A column name that is not taken (Spark's names ignore case)."""
     used = {c.lower() for c in taken}
@@ -51,6 +63,7 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, text, ...) of docs; columns that are missing come as nulls."""
+    small_batches(docs.sparkSession)
     kinds = {"doc_id": "bigint", "text": "string"}
     names = {c.lower() for c in docs.columns}
     return docs.select(*(docs[c].cast(kinds.get(c, "string")).alias(c) if c in names else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", "text", *more)))

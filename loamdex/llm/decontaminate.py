@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, keyed
+from loamdex.llm.common import fresh, keyed, small_batches
 from loamdex.llm.textops import ALNUM, Words, blocks, windows, words
 
 WINDOW = 10
@@ -170,6 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove
     if remove not in ("spans", "documents"):
         raise ValueError("remove is 'spans' or 'documents'")
     spark, out = docs.sparkSession, docs
+    small_batches(spark)
     at = [c.lower() for c in docs.columns].index("text")
     flag = fresh(docs.columns, "text_was_cut")
     for rows in _item_blocks(benchmark):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, keyed, remainder
+from loamdex.llm.common import fresh, keyed, remainder, small_batches
 from loamdex.llm.textops import BLOCK_BYTES, blocks, mix
 
 UNKNOWN = "und"
@@ -146,6 +146,7 @@ def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred",
     no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() not in (lang_name.lower(), score_name.lower())]
     at = [c.lower() for c in names].index("text")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, tasks
+from loamdex.llm.common import fresh, small_batches, tasks
 from loamdex.llm.textops import mix
 
 MIN_CHARS = 10
@@ -148,6 +148,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     one of them fits in a task's memory; see the module's docstring.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     place = {c.lower(): i for i, c in enumerate(names)}
     at_id, at_text, count = place["doc_id"], place["text"], tasks(spark)
