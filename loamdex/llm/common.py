@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamdex.sources.tables import shared_folder, stored
 
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only in local mode, where it is unset."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and lost executors cost a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loamdex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for the session: by default long texts make batches of a GB, which JVM and Python both hold."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -69,6 +47,4 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(docs[c].cast(kinds.get(c, "string")).alias(c) if c in names else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", "text", *more)))
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A record batch of the given arrays or lists, cast to the schema."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+__all__ = ["fresh", "keyed", "remainder", "shared_folder", "small_batches", "stored", "tasks"]
