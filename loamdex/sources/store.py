@@ -67,7 +67,8 @@ def number_rows(df: DataFrame, key: str, name: str = "rn", width: int = 1 << 16)
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the files in <folder>/cleaned, a document each, by path; one trailing newline goes, CRLF becomes LF."""
-    files = spark.read.text(f"{folder.rstrip('/')}/cleaned", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    # Read as binary files, since the text reader leaves out empty ones.
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/cleaned").select("path", F.decode("content", "UTF-8").alias("value"))
     return files.select("path", F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n\\z", "").alias("text")).orderBy("path")
 
 
