@@ -67,8 +67,14 @@ def number_rows(df: DataFrame, key: str, name: str = "rn", width: int = 1 << 16)
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the files in <folder>/cleaned, a document each, by path; one trailing newline goes, CRLF becomes LF."""
-    # Read as binary files, since the text reader leaves out empty ones.
-    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/cleaned").select("path", F.decode("content", "UTF-8").alias("value"))
+    place = f"{folder.rstrip('/')}/cleaned"
+    files = spark.read.text(place, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    # Spark's readers leave out empty files; a document each all the same.
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    listed = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    empty = [(f.getPath().toString(), "") for f in listed if f.isFile() and f.getLen() == 0]
+    if empty:
+        files = files.unionByName(spark.createDataFrame(empty, "path string, value string"))
     return files.select("path", F.regexp_replace(F.regexp_replace("value", "\r\n", "\n"), "\n\\z", "").alias("text")).orderBy("path")
 
 
