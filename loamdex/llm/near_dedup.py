@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     mixed = mixed.select("bucket", "id", F.coalesce("component", "id").alias("label"), (F.col("met").isNull() & (F.col("id") != F.col("lead"))).cast("int").alias("apart"))
     open_ = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("apart").alias("apart"), F.min("label").alias("p"), F.max("label").alias("q"), *(F.sum(F.xxhash64("id", F.lit(k)) % (1 << 40)).alias(f"sum{k}") for k in (4, 5)))
     open_ = open_.where("size > 2 and apart > 0 and p < q").groupBy("size", "sum4", "sum5").agg(F.min("bucket").alias("bucket")).select("bucket")
-    mixed = stored(_block_pairs(mixed.join(open_, "bucket").select("bucket", "id", "label"), ["bucket"], BLOCK_SKETCHES), "mixed")
+    mixed = stored(mixed.select("bucket", "id", "label").join(open_, "bucket", "left_semi"), "mixed")
 
     def maybe(part: pa.Table) -> pa.Table:
         part = part.sort_by([("side", "ascending"), ("id", "ascending")])
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = possible_links(_matrix(part["sketch"]), part["n"].to_numpy(), label, percent, split if split < len(ids) else None)
         return pa.table({"a": _ints([label[i] for i, _ in found]), "b": _ints([label[j] for _, j in found])})
 
-    chances = stored(mixed.join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long"), "chances")
+    chances = stored(_block_pairs(mixed, ["bucket"], BLOCK_SKETCHES).join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long"), "chances")
     if chances.limit(1).count():
         # Components that a possible link joins make a group; its members that met in such buckets are compared, but for what is one component already.
         groups = components(chances).select(F.col("id").alias("label"), F.col("component").alias("lead"))
