@@ -29,7 +29,7 @@ from loamdex.llm.textops import mix
 
 MIN_CHARS = 10
 #: Distinct lines that a task holds before it sends them on; the shards merge what comes twice.
-HELD_LINES = 1_000_000
+HELD_LINES = 200_000
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -144,14 +144,14 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id are left alone and do not count.  Columns named n_lines or n_dropped
     are replaced; other columns pass through.  An empty table gives no rows.
 
-    spark.sql.shuffle.partitions sets the number of blocks and shards, so that
-    one of them fits in a task's memory; see the module's docstring.
+    Twice spark.sql.shuffle.partitions is the number of blocks and shards, so
+    that one of them fits in a task's memory; see the module's docstring.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     place = {c.lower(): i for i, c in enumerate(names)}
-    at_id, at_text, count = place["doc_id"], place["text"], tasks(spark)
+    at_id, at_text, count = place["doc_id"], place["text"], 2 * tasks(spark)
     kinds = {"doc_id": "bigint", "text": "string"}
     columns = [F.col(f"`{c}`").cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(f"`{c}`") for c in names]
     block = fresh(docs.columns, "line_block")
