@@ -155,17 +155,17 @@ def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred",
         for rows in batches:
             guesses, scores = [], []
             for block in blocks(rows.column(at)):
+                if not model.languages:
+                    guesses += [UNKNOWN] * block.rows
+                    scores += [0.0] * block.rows
+                    continue
                 if block.rows == 1 and len(block.data) > BLOCK_BYTES:
                     sums, letters = np.zeros((1, len(model.languages))), np.zeros(1, np.int64)
                     for part in _pieces(block.data, BLOCK_BYTES):
                         more, some = model.sums(part, np.array([0, len(part)]))
                         sums, letters = sums + more, letters + some
-                elif model.languages:
+                else:
                     sums, letters = model.sums(block.data, block.offsets)
-                if not model.languages:
-                    guesses += [UNKNOWN] * block.rows
-                    scores += [0.0] * block.rows
-                    continue
                 sums = sums + model.priors
                 best = sums.argmax(axis=1)
                 share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
