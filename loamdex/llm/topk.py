@@ -117,7 +117,7 @@ def best_pairs(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids
         found = queries.astype(object) @ data.astype(object).T
         out = []
         for i, own in enumerate(query_ids.tolist()):
-            ranked = sorted((-int(s), j) for s, j in zip(found[i], ids.tolist(), strict=True) if j != own)[:k]
+            ranked = sorted((-min(max(int(s), -(2**63)), 2**63 - 1), j) for s, j in zip(found[i], ids.tolist(), strict=True) if j != own)[:k]
             out += [(own, j, -s) for s, j in ranked]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return tuple(np.array(c, object) for c in cols)
@@ -136,7 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     different lengths are only compared with their like.  Ties go to the smaller
     id; a query with fewer than k candidates gets them all; rows with the
     query's own id are never its results.  Rows that repeat an id and a vector
-    are one row.  No queries, or an empty table: no rows.
+    are one row.  Scores that 64 bits cannot hold count as the nearest that they
+    can.  No queries, or an empty table: no rows.
     """
     own = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
