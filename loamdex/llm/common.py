@@ -34,6 +34,13 @@ def tasks(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that df reads, by their files; tables of unknown size, such as rows made on the driver, count 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32(doc_id as text) mod divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
@@ -47,4 +54,4 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(docs[c].cast(kinds.get(c, "string")).alias(c) if c in names else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", "text", *more)))
 
 
-__all__ = ["fresh", "keyed", "remainder", "shared_folder", "small_batches", "stored", "tasks"]
+__all__ = ["fresh", "input_bytes", "keyed", "remainder", "shared_folder", "small_batches", "stored", "tasks"]

@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, small_batches, tasks
+from loamdex.llm.common import fresh, input_bytes, small_batches, tasks
 from loamdex.llm.textops import mix
 
 MIN_CHARS = 10
+#: Bytes of input files for a block at most (about), whatever the session's number of partitions.
+BLOCK_INPUT = 64 << 20
 #: Distinct lines that a task holds before it sends them on; the shards merge what comes twice.
 HELD_LINES = 200_000
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -144,14 +146,15 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     doc_id are left alone and do not count.  Columns named n_lines or n_dropped
     are replaced; other columns pass through.  An empty table gives no rows.
 
-    Twice spark.sql.shuffle.partitions is the number of blocks and shards, so
-    that one of them fits in a task's memory; see the module's docstring.
+    Blocks and shards are twice spark.sql.shuffle.partitions in number, and more
+    where that would make a block of over BLOCK_INPUT bytes of the input's files,
+    so that one fits in a task's memory; see the module's docstring.
     """
     spark = docs.sparkSession
     small_batches(spark)
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     place = {c.lower(): i for i, c in enumerate(names)}
-    at_id, at_text, count = place["doc_id"], place["text"], 2 * tasks(spark)
+    at_id, at_text, count = place["doc_id"], place["text"], max(2 * tasks(spark), -(-input_bytes(docs) // BLOCK_INPUT))
     kinds = {"doc_id": "bigint", "text": "string"}
     columns = [F.col(f"`{c}`").cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(f"`{c}`") for c in names]
     block = fresh(docs.columns, "line_block")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loamdex.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, token_count, topk
+from loamdex.llm.common import input_bytes
 from loamdex.llm.components import components
 from loamdex.llm.textops import NOT_SPACE, blocks, words
 
@@ -168,6 +169,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == lines_brute(rows)
 
 
+def test_blocks_follow_the_input(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, line_dedup.deduplicated(docs).select("doc_id", "text").collect()))
+    monkeypatch.setattr(line_dedup, "BLOCK_INPUT", 4096)
+    assert input_bytes(docs) > 40 * 4096 and input_bytes(table(spark)) == 0
+    assert sorted(map(tuple, line_dedup.deduplicated(docs).select("doc_id", "text").collect())) == want
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     hashes = line_dedup.PerfectHash.build(keys)
@@ -291,6 +300,8 @@ def test_top_k_equals_brute_force(spark):
     want = {(q, r + 1, i, -s) for q in small if q % 100 == 0 for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(small[q], v, strict=True)), i) for i, v in small.items() if i != q)[:10])}
     assert {tuple(r) for r in got.collect()} == want
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 100 == 0).collect() == []
+    huge = spark.createDataFrame([(0, [2e15]), (1, [2e15]), (2, [-2e15])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(huge, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3 * 1024 * 1024)]
 
