@@ -18,6 +18,11 @@ def read_dictionary(lines: DataFrame) -> DataFrame:
     return lines.select("line_no", parts.alias("p")).where(F.size("p") == 2).select(F.col("p")[0].alias("word"), F.col("p")[1].cast("double").alias("freq"), "line_no")
 
 
+def rewritten(lines: DataFrame) -> DataFrame:
+    """lines (value, ...) where those of three fields, `rank freq word`, become `word freq`; a leading blank makes an empty first field, other lines stay."""
+    return lines.withColumn("value", F.regexp_replace("value", r"^\S*\s+(\S+)\s+(\S+)\s*\z", "$2 $1"))
+
+
 def probabilities(entries: DataFrame) -> DataFrame:
     """(word, p): the last frequency of a word over the sum of all rows, repeats included."""
     last = entries.groupBy("word").agg(F.max_by("freq", "line_no").alias("freq"))

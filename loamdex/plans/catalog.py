@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions import codec
 from loamdex.functions.analysis import STOP_WORDS, Analyzer, naive_tokens, positions, punctuation_tokens
+from loamdex.functions.lists import list_intersect, list_union
 from loamdex.functions.porter import stem
-from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary
+from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary, rewritten
 from loamdex.operators import index, search
 from loamdex.plans import graph, ranking
 from loamdex.sources.store import latest, number_rows, read_edges, read_nodes
@@ -266,6 +265,18 @@ def dictionary_probability(s, d):
     return probabilities(read_dictionary(lines)).select("word", F.round("p", 12).alias("p"))
 
 
+def dictionary_rewrite(s, d):
+    """Term counts as lines of three fields, written as `word freq`."""
+    lines = index.dictionary(_lists(s, d)).select(F.concat_ws("\t", F.length("term").cast("string"), F.col("df").cast("string"), "term").alias("value"))
+    return rewritten(lines)
+
+
+def list_operations(s, d):
+    """The query's terms in each document with repeats, and how many terms both have."""
+    own, wanted = punctuation_tokens(F.col("text")), F.array(*map(F.lit, KEYS))
+    return _docs(s, d).select("doc_id", F.array_join(list_intersect(own, wanted), ",").alias("common"), F.size(list_union(own, wanted)).cast("long").alias("terms"))
+
+
 # Stems that the stemmer's tests expect.
 STEMS = {"caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "agreed": "agre", "feed": "feed", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "fizzed": "fizz", "failing": "fail", "filing": "file", "triplicate": "triplic", "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good", "ties": "ti", "dogs": "dog", "need": "need", "disabled": "disabl", "fitting": "fit", "making": "make", "missing": "miss", "meeting": "meet", "meetings": "meet"}
 # Integer lists and their bytes under the delta codec.
@@ -339,7 +350,7 @@ QUERIES = {
         doc_scan, doc_keys, doc_get, doc_count, doc_upsert, doc_bulk_load, analyze_naive, analyze_punct, stopword_filter, distinct_terms, term_positions, postings, inverted_lists, term_frequency, dictionary_df,
         segments, segment_num_docs, num_segments, segment_df, segment_docs_scan, segment_postings, segment_merge, merge_with_delete, search_fullscan, search_keyword, search_and, search_or, search_phrase2,
         search_phrase3, search_phrase_repeat, search_keyword_deleted, search_and_deleted, search_or_deleted, tfidf_all, tfidf_topk, tfidf_dup_query_terms, tfidf_multi_segment, pagerank_k, pagerank_dangling,
-        out_degree, combined_rank, url_nodes, graph_edges, dictionary_probability, porter_golden, analyze_composed_golden, stemmed_df, wordbreak_golden, codec_varbyte_golden, codec_naive_golden, codec_roundtrip,
+        out_degree, combined_rank, url_nodes, graph_edges, dictionary_probability, dictionary_rewrite, list_operations, porter_golden, analyze_composed_golden, stemmed_df, wordbreak_golden, codec_varbyte_golden, codec_naive_golden, codec_roundtrip,
         codec_size_ratio, ingest_stream_segments,
     )
 }
@@ -427,6 +438,8 @@ ORACLES = {
     "url_nodes": "SELECT CAST(page_id AS INTEGER) AS id, url FROM pages",
     "graph_edges": f"WITH {_EDGES} SELECT src, dst, count(*) AS m FROM edges GROUP BY src, dst",
     "dictionary_probability": f"WITH {_OCC}, f AS (SELECT term AS word, count(DISTINCT doc_id) AS freq FROM occ GROUP BY term) SELECT word, round(freq / (SELECT sum(freq) FROM f), 12) AS p FROM f",
+    "dictionary_rewrite": f"WITH {_OCC} SELECT term || ' ' || count(DISTINCT doc_id) AS value FROM occ GROUP BY term",
+    "list_operations": f"WITH {_TOKS} SELECT doc_id, array_to_string([t FOR t IN a IF t IN ({_IN})], ',') AS common, len(list_distinct(list_concat(a, [{_IN}]))) AS terms FROM toks",
     "porter_golden": f"SELECT term, stem FROM (VALUES {_values(STEMS.items())}) v(term, stem)",
     "analyze_composed_golden": "SELECT CAST(doc_id AS BIGINT) AS doc_id, tokens FROM (VALUES (1, 'uci|cs221:|inform|retriev|project|1'), (2, 'poni|cat|hop')) v(doc_id, tokens)",
     "wordbreak_golden": "SELECT CAST(id AS INTEGER) AS id, tokens FROM (VALUES (1, 'like|icecream'), (2, 'like|ice'), (3, NULL)) v(id, tokens)",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from loamdex.functions import codec
 from loamdex.functions.analysis import Analyzer, naive_tokens, naive_tokens_py, punctuation_tokens, punctuation_tokens_py
+from loamdex.functions.lists import list_intersect, list_union
 from loamdex.functions.porter import stem
-from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary
+from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary, rewritten
 from loamdex.operators import search
 from loamdex.operators.index import Index, merge_segments
 from loamdex.plans import catalog, ranking
@@ -34,6 +35,14 @@ def test_tokenizers_agree_with_their_twins(spark):
     assert naive_tokens_py("") == [""] and naive_tokens_py("  ") == []
 
 
+def test_lists_and_dictionary_lines(spark):
+    row = spark.range(1).select(F.array(*map(F.lit, [3, 1, 3, 2])).alias("a"), F.array(*map(F.lit, [3, 2, 5, 5])).alias("b"))
+    out = row.select(list_intersect(F.col("a"), F.col("b")).alias("i"), list_union(F.col("a"), F.col("b")).alias("u")).first()
+    assert out.i == [3, 3, 2] and out.u == [3, 1, 2, 5]
+    lines = spark.createDataFrame([("1 20 the",), ("2\t9  of ",), ("two fields",), (" 7 lead",), ("",), ("a b c d",), (None,)], "value string")
+    assert [r.value for r in rewritten(lines).collect()] == ["the 20", "of 9", "two fields", "lead 7", "", "a b c d", None]
+
+
 def test_stems():
     assert {w: stem(w) for w in catalog.STEMS} == catalog.STEMS
     more = {"relational": "relat", "conditional": "condit", "digitizer": "digit", "conformabli": "conform", "analogi": "analog", "adoption": "adopt", "probate": "probat", "rate": "rate", "cease": "ceas", "controll": "control", "roll": "roll", "happy": "happi", "sky": "sky", "be": "be", "generalizations": "gener", "oscillators": "oscil"}
