@@ -101,7 +101,48 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 10
 """
 
+#: Sets of two-word shingles, links on full sets, and the least doc_id that they reach.
+_NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def _secret_sql() -> str:
+    """The base rules as the contract states them, the further ones by their patterns; positions from running lengths."""
+    either = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words.split())
+    name = either("password passwd secret token api") + "_?" + either("key")
+    rules = [
+        ("assign", f"""({name})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", "AKIA[A-Z0-9]+", 0, 20),
+        ("hex", "[0-9a-f]+", 0, 24),
+        *((r.kind, r.pattern.replace("\\s", "\\t-\\r\\x20"), 0, 1) for r in secret_scan.MORE_RULES),
+    ]
+    quoted = [(i, kind, "'" + pattern.replace("'", "''") + "'", group, least) for i, (kind, pattern, group, least) in enumerate(rules)]
+    scans = "\nUNION ALL ".join(f"SELECT doc_id, {i} AS kind, '{kind}' AS name, {least} AS least, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS whole, regexp_extract_all(text, {p}, {group}) AS judged FROM d" for i, kind, p, group, least in quoted)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({scans}),
+p AS (SELECT doc_id, kind, name, least, unnest(gaps[:len(whole)]) AS gap, unnest(whole) AS whole, unnest(judged) AS judged, unnest(range(len(whole))) AS i FROM m WHERE len(whole) > 0),
+e AS (SELECT doc_id, kind, name, length(judged) >= least AS good, length(whole) AS size, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM p),
+t AS (SELECT doc_id, kind, stop - size AS start, name || ':' || (stop - size) || ':' || stop AS span FROM e WHERE good),
+g AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+  string_agg(span, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base, string_agg(span, ',' ORDER BY start, kind) AS spans FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
 ORACLES = {
+    "op1_minhash_near_dedup": _NEAR,
+    "op2_secret_scan": _secret_sql(),
     "op3_line_dedup": _LINES,
     "op4_decontaminate": _WINDOWS,
     "op7_exact_topk": _TOPK,
