@@ -2,8 +2,8 @@
 
 Each source's target is its weight's share of the wanted words, held to a
 multiple of what the source has.  Blocks of equal size are apportioned to
-sources by highest quotients, then each source's blocks to its shards in the
-same way, so every quota is an integer.  Inside a shard the documents lie in a
+sources by highest quotients, then each source's blocks to groups of its shards
+and each group's to its shards in the same way, so every quota is an integer.  Inside a shard the documents lie in a
 seeded order, cut into blocks; every block is taken quota // blocks times, and
 those that come first in a seeded order once more.  A document's share is what
 the taken blocks hold of it.
@@ -29,6 +29,8 @@ SEED = 20
 #: Documents of a shard, about; and blocks of the whole mix, about.
 SHARD_DOCS = 2_000
 BLOCKS = 1 << 20
+#: Shards of a group, about: a source's blocks go to its groups first, then to a group's shards, so that no task sees all shards of a source.
+GROUP_SHARDS = 1_000
 #: One row a source goes through the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
 
@@ -156,17 +158,24 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     table = table.withColumnRenamed("source", "named")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
     shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.col("shards"))
-    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named)).select("doc_id", "source", "size", "source_size", "target", "quota", shard.alias("shard"))
+    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named)).select("doc_id", "source", "size", "source_size", "target", "quota", "shards", shard.alias("shard"))
 
-    def to_shards(part: pa.Table) -> pa.Table:
-        part = part.sort_by("shard")
+    def apportion(part: pa.Table) -> pa.Table:
+        """The quota of the rows' source or group, by the words of each row."""
+        part = part.sort_by("key")
         held = part["words"].to_numpy()
-        quota = sainte_lague(held, part["quota"][0].as_py(), int(np.ceil(limit)) * -(-held // block))
-        return pa.table({"named": part["source"], "of_shard": part["shard"], "shard_quota": pa.array(quota, pa.int64())})
-
-    shards = dealt.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
-    shards = shards.groupBy("source").applyInArrow(to_shards, "named string, of_shard long, shard_quota long")
-    full = dealt.join(shards, dealt.source.eqNullSafe(shards.named) & (dealt.shard == shards.of_shard)).drop("named", "of_shard", "quota")
+        given = sainte_lague(held, part["quota"][0].as_py(), int(np.ceil(limit)) * -(-held // block))
+        return pa.table({"named": part["source"], "of": part["key"], "given": pa.array(given, pa.int64())})
+
+    kind = "named string, of long, given long"
+    shards = dealt.groupBy("source", "shard", "shards", "quota").agg(F.sum("size").alias("words"))
+    shards = stored(shards.withColumn("group", F.pmod("shard", F.ceil(F.col("shards") / GROUP_SHARDS))).drop("shards"), "shards")
+    groups = shards.groupBy("source", "group", "quota").agg(F.sum("words").alias("words")).withColumnRenamed("group", "key")
+    groups = groups.groupBy("source").applyInArrow(apportion, kind)
+    inside = shards.drop("quota").join(groups, shards.source.eqNullSafe(groups.named) & (shards.group == groups.of))
+    inside = inside.select("source", "group", F.col("shard").alias("key"), "words", F.col("given").alias("quota"))
+    quotas_of = inside.groupBy("source", "group").applyInArrow(apportion, kind).withColumnRenamed("given", "shard_quota")
+    full = dealt.join(quotas_of, dealt.source.eqNullSafe(quotas_of.named) & (dealt.shard == quotas_of.of)).drop("named", "of", "quota", "shards")
 
     def take(part: pa.Table) -> pa.Table:
         ids, size = part["doc_id"].fill_null(0).to_numpy(), part["size"].to_numpy()
