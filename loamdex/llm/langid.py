@@ -25,6 +25,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SAMPLE_PER_LANG = 4000
 _SMOOTHING = 0.5
+#: The matrix (BUCKETS x languages, 8 bytes each) is broadcast: more languages than this are refused.
+MAX_LANGUAGES = 500
 
 
 @lru_cache(maxsize=1)
@@ -100,9 +102,12 @@ def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...]
 
     Priors come from all labelled rows; n-gram counts from about
     sample_per_lang whole texts of each language, chosen by a hash of the id.
+    More than MAX_LANGUAGES languages raise ValueError.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((buckets, 0)), orders)

@@ -332,7 +332,10 @@ def test_token_ties_keep_the_earlier_start():
     assert token_count.Counter(vocabulary)(pa.array(["aaa"])).tolist() == [2]
 
 
-def test_mix(spark):
+@pytest.mark.parametrize(("shard", "group"), [(mixing.SHARD_DOCS, mixing.GROUP_SHARDS), (10, 3)])
+def test_mix(spark, monkeypatch, shard, group):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", group)
     docs = table(spark, [(i, "w " * (i % 50 + 1), "en", f"s{i % 7}" if i % 3 else "hot") for i in range(600)] + [(900, None, "en", None), (901, "a b c", "en", None)])
     rows = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(7)).collect()
@@ -374,6 +377,12 @@ def test_language_accuracy(spark):
     assert {r.lang_pred for r in langid.language_id(table(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.language_id(table(spark))
+
+
 def test_quality_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     marks = spark.read.parquet(f"{sf}/labels.parquet")
