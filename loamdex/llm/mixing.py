@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Each source's target is its weight's share of the wanted words, held to a
-multiple of what the source has.  Blocks of equal size are apportioned to
-sources by highest quotients, then each source's blocks to groups of its shards
-and each group's to its shards in the same way, so every quota is an integer.  Inside a shard the documents lie in a
+multiple of what the source has.  Words are apportioned to sources by highest
+quotients and counted in blocks, all of a source of one size; then each source's
+blocks go to groups of its shards and each group's to its shards by highest
+quotients, so every quota is an integer.  Inside a shard the documents lie in a
 seeded order, cut into blocks; every block is taken quota // blocks times, and
 those that come first in a seeded order once more.  A document's share is what
 the taken blocks hold of it.
@@ -26,9 +27,10 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2.0
 SEED = 20
-#: Documents of a shard, about; and blocks of the whole mix, about.
+#: Documents of a shard, about; blocks of the whole mix, about; and blocks of a shard at least, about (its source's blocks are smaller for it, down to a word).
 SHARD_DOCS = 2_000
 BLOCKS = 1 << 20
+SHARD_BLOCKS = 256
 #: Shards of a group, about: a source's blocks go to its groups first, then to a group's shards, so that no task sees all shards of a source.
 GROUP_SHARDS = 1_000
 #: One row a source goes through the driver; more sources than this are refused.
@@ -136,8 +138,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     stops at `limit` times its source's words, the excess shared again by
     weight.  taken is the number of the document's words in the mix, repeats
     counted: at most ceil(limit) times size.  A source's words come to its
-    target within half a block and the odd-sized last blocks of its shards; a
-    block is about a millionth of the mix.  Null and empty texts have size 0
+    target within about half a block and the odd-sized last blocks of its shards; a
+    block is about a millionth of the mix, but at most about 1 / SHARD_BLOCKS of
+    what the source's shards have on average, and at least a word.  Null and empty texts have size 0
     and are not taken; rows with equal ids are documents of their own; ids may
     be null.  Reruns agree.  An empty table gives no rows.
     """
@@ -149,42 +152,43 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     words = np.array([r.words for r in rows], np.float64)
     by_weight = np.array([weights[i % len(weights)] for i in range(len(rows))], np.float64)
     targets = water_fill(words, by_weight, share * words.sum(), limit)
-    block = max(1, int(share * words.sum()) // BLOCKS)
-    most = np.array([int(limit * r.words) // block for r in rows], np.int64)
-    quotas = sainte_lague(targets, round(targets.sum() / block), most)
+    shards_of = np.array([-(-r.docs // SHARD_DOCS) for r in rows], np.int64)
+    block = np.maximum(1, np.minimum(int(share * words.sum()) // BLOCKS, words.astype(np.int64) // np.maximum(1, SHARD_BLOCKS * shards_of)))
+    most = np.array([int(limit * r.words) for r in rows], np.int64)
+    quotas = (sainte_lague(targets, round(targets.sum()), most) + block // 2) // block
     spark = docs.sparkSession
-    kind = "source string, source_size long, target double, quota long, shards long"
-    table = spark.createDataFrame([(r.source, int(r.words), float(t), int(q), -(-r.docs // SHARD_DOCS)) for r, t, q in zip(rows, targets, quotas, strict=True)], kind)
+    kind = "source string, source_size long, target double, quota long, shards long, block long"
+    table = spark.createDataFrame([(r.source, int(r.words), float(t), int(q), int(n), int(b)) for r, t, q, n, b in zip(rows, targets, quotas, shards_of, block, strict=True)], kind)
     table = table.withColumnRenamed("source", "named")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
     shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.col("shards"))
-    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named)).select("doc_id", "source", "size", "source_size", "target", "quota", "shards", shard.alias("shard"))
+    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named)).select("doc_id", "source", "size", "source_size", "target", "quota", "shards", "block", shard.alias("shard"))
 
     def apportion(part: pa.Table) -> pa.Table:
         """The quota of the rows' source or group, by the words of each row."""
         part = part.sort_by("key")
-        held = part["words"].to_numpy()
+        held, block = part["words"].to_numpy(), part["block"][0].as_py()
         given = sainte_lague(held, part["quota"][0].as_py(), int(np.ceil(limit)) * -(-held // block))
         return pa.table({"named": part["source"], "of": part["key"], "given": pa.array(given, pa.int64())})
 
     kind = "named string, of long, given long"
-    shards = dealt.groupBy("source", "shard", "shards", "quota").agg(F.sum("size").alias("words"))
+    shards = dealt.groupBy("source", "shard", "shards", "quota", "block").agg(F.sum("size").alias("words"))
     shards = stored(shards.withColumn("group", F.pmod("shard", F.ceil(F.col("shards") / GROUP_SHARDS))).drop("shards"), "shards")
-    groups = shards.groupBy("source", "group", "quota").agg(F.sum("words").alias("words")).withColumnRenamed("group", "key")
+    groups = shards.groupBy("source", "group", "quota", "block").agg(F.sum("words").alias("words")).withColumnRenamed("group", "key")
     groups = groups.groupBy("source").applyInArrow(apportion, kind)
     inside = shards.drop("quota").join(groups, shards.source.eqNullSafe(groups.named) & (shards.group == groups.of))
-    inside = inside.select("source", "group", F.col("shard").alias("key"), "words", F.col("given").alias("quota"))
+    inside = inside.select("source", "group", F.col("shard").alias("key"), "words", "block", F.col("given").alias("quota"))
     quotas_of = inside.groupBy("source", "group").applyInArrow(apportion, kind).withColumnRenamed("given", "shard_quota")
     full = dealt.join(quotas_of, dealt.source.eqNullSafe(quotas_of.named) & (dealt.shard == quotas_of.of)).drop("named", "of", "quota", "shards")
 
     def take(part: pa.Table) -> pa.Table:
         ids, size = part["doc_id"].fill_null(0).to_numpy(), part["size"].to_numpy()
         order = np.lexsort((size, ids, seeded(ids, seed)))
-        part, size = part.take(pa.array(order)), size[order]
+        part, size, block = part.take(pa.array(order)), size[order], part["block"][0].as_py()
         number = int(-(-size.sum() // block))
         ranks = seeded(np.arange(number) + part["shard"][0].as_py() * 1_000_003, seed + 1)
         taken = taken_words(size, part["shard_quota"][0].as_py(), block, ranks)
-        return part.drop_columns(["shard", "shard_quota"]).append_column("taken", pa.array(taken, pa.int64()))
+        return part.drop_columns(["shard", "shard_quota", "block"]).append_column("taken", pa.array(taken, pa.int64()))
 
     return full.groupBy("source", "shard").applyInArrow(take, "doc_id long, source string, size long, source_size long, target double, taken long")
 

@@ -351,6 +351,19 @@ def test_mix(spark, monkeypatch, shard, group):
     assert len({round(t / w, 6) for t, w in free}) == 1
 
 
+@pytest.mark.parametrize(("parts", "shard"), [(mixing.BLOCKS, mixing.SHARD_DOCS), (1 << 8, 3)])
+def test_small_sources_come_to_their_targets(spark, monkeypatch, parts, shard):
+    monkeypatch.setattr(mixing, "BLOCKS", parts)
+    monkeypatch.setattr(mixing, "SHARD_DOCS", shard)
+    rows = [(i, "w " * 1_000_000, "en", f"big{i % 2}") for i in range(8)] + [(100 + i, "w " * (i + 1), "en", f"tail{i}") for i in range(9)] + [(200 + i, "w " * 300, "en", "ten") for i in range(10)]
+    taken, target = {}, {}
+    for r in mixing.mix_sources(table(spark, rows, False)).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[f"tail{i}"] - target[f"tail{i}"]) <= 1 for i in range(9))
+    assert all(taken[s] == pytest.approx(target[s], rel=0.01) for s in ("big0", "big1", "ten"))
+
+
 def test_sainte_lague_takes_the_highest_quotients():
     rng = random.Random(2)
     for _ in range(200):
