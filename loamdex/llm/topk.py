@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.llm.common import stored
+
 SCALE = 1024
 #: Vectors of a block of data and of queries; vectors of a leaf.
 DATA_BLOCK, QUERY_BLOCK, LEAF = 8192, 1024, 96
@@ -136,13 +138,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     different lengths are only compared with their like.  Ties go to the smaller
     id; a query with fewer than k candidates gets them all; rows with the
     query's own id are never its results.  Rows that repeat an id and a vector
-    are one row.  Scores that 64 bits cannot hold count as the nearest that they
+    (of integers) are one row; other vectors of an id are rows of their own.  Scores that 64 bits cannot hold count as the nearest that they
     can.  No queries, or an empty table: no rows.
     """
     own = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
     finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     own = own.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & finite)
     own = own.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double")).alias("x"), F.size("x").alias("dim"))
+    own = stored(own.dropDuplicates(["vec_id", "x"]), "vectors")
     queries = own.where(is_query)
     n, nq = (int(x) for x in own.select(F.count(F.lit(1)), F.count_if(is_query)).first())
     data_blocks, query_blocks = max(1, -(-n // DATA_BLOCK)), max(1, -(-nq // QUERY_BLOCK))
@@ -155,6 +158,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         found = best_pairs(_vectors(a["x"]), a["vec_id"].to_numpy(), _vectors(b["x"]), b["vec_id"].to_numpy(), k)
         return pa.table({name: pa.array(x.tolist(), pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
-    found = left.groupBy("qb", "db", "dim").cogroup(right.groupBy("qb", "db", "dim")).applyInArrow(search, "query_id long, vec_id long, score long").distinct()
+    found = left.groupBy("qb", "db", "dim").cogroup(right.groupBy("qb", "db", "dim")).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -306,6 +306,17 @@ def test_top_k_equals_brute_force(spark):
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3 * 1024 * 1024)]
 
 
+def test_repeated_vectors_are_one_row(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(50, [9.0] * 4)] * 30 + [(0, [1.0] * 4)] * 12 + [(51, [9.0, 9.0, 9.0, 0.0]), (51, [0.0, 9.0, 9.0, 9.0])]
+    own = {(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in rows if i or v[0] == 1.0}
+    query = (1024,) * 4
+    best = sorted((-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in own if i != 0)[:10]
+    got = topk.top_k(spark.createDataFrame(rows[1:], "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") == 0)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert [i for _, i in best[:3]] == [50, 51, 51]
+
+
 def test_token_counts_equal_a_public_tokenizer():
     from tokenizers import Tokenizer, models
 
