@@ -2,11 +2,11 @@
 
 Regular expressions find base spans, which always stay.  Around them, and in
 any stretch of digits and separators or address-like text, the field scores
-whole segments: a segment of a type has features of all its text (digits,
+whole segments, over regions of any length: a segment of a type has features of all its text (digits,
 groups, separators, checksum, neighbours), and dynamic programming over segment
 ends, with a bound on a segment's tokens, picks boundaries and types jointly.
 Its weights are trained on the spot, by gradient of the exact likelihood, on
-regions of a bounded sample of documents with the base spans as labels and with
+regions (cut to a bounded length) of a bounded sample of documents with the base spans as labels and with
 such typographic variants of them as base patterns do not know.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,12 @@ MAX_TOKENS = 24
 ROUNDS = 60
 MARGIN = 1.0
 #: A stretch of text that may hold an entity: an address around @, or digits with what may stand between them.
-REGION = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,8}|[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,63}")
+_REGION = r"[A-Za-z0-9._%%+-]{1,64}(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,%s}|[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,%s}"
+REGION = re.compile(_REGION % ("", ""))
+#: The same of a bounded length, to learn from.
+SHORT_REGION = re.compile(_REGION % (8, 63))
+#: First tokens whose segments are held at a time.
+TOKENS_AT_ONCE = 4096
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
 
 
@@ -131,36 +137,46 @@ def _features(text: str, region_start: int, start: int, end: int, tokens: int) -
 
 @dataclass
 class Region:
-    """text[start:end], its token edges, and the candidate segments: (first token, end token, features)."""
+    """A stretch of text that starts at `start`, and its token edges."""
 
+    text: str
     start: int
     edges: list[int]
-    segments: list[tuple[int, int, list[int]]]
 
-
-def regions(text: str) -> list[Region]:
-    out = []
-    for m in REGION.finditer(text) if re.search(r"@|[\[(]at[\])]|[0-9](?:[\x20().\-/]{0,2}[0-9]){5}", text) else ():
-        edges = [m.start()] + [m.start() + t.end() for t in TOKEN.finditer(m[0])]
-        n, segments = len(edges) - 1, []
-        for a in range(n):
+    def segments_from(self, first: int, last: int) -> list[tuple[int, int, list[int]]]:
+        """The candidate segments that start at tokens first to last: (first token, end token, features)."""
+        text, edges, out = self.text, self.edges, []
+        n = len(edges) - 1
+        for a in range(first, min(n, last)):
             if not (text[edges[a]].isalnum() or text[edges[a]] in "+("):
                 continue
             for b in range(a + 1, min(n, a + MAX_TOKENS) + 1):
                 if text[edges[b] - 1].isalnum() and (edges[b] - edges[a] >= 6):
-                    segments.append((a, b, _features(text, m.start(), edges[a], edges[b], b - a)))
-        if segments:
-            out.append(Region(m.start(), edges, segments))
-    return out
+                    out.append((a, b, _features(text, self.start, edges[a], edges[b], b - a)))
+        return out
+
+    @cached_property
+    def segments(self) -> list[tuple[int, int, list[int]]]:
+        return self.segments_from(0, len(self.edges) - 1)
+
+
+def regions(text: str, pattern: re.Pattern = REGION) -> list[Region]:
+    found = pattern.finditer(text) if re.search(r"@|[\[(]at[\])]|[0-9](?:[\x20().\-/]{0,2}[0-9]){5}", text) else ()
+    return [Region(text, m.start(), [m.start()] + [m.start() + t.end() for t in TOKEN.finditer(m[0])]) for m in found]
 
 
-def _scores(region: Region, weights: np.ndarray) -> np.ndarray:
-    return np.array([weights[:, f].sum(axis=1) for _, _, f in region.segments])
+def short_regions(text: str) -> list[Region]:
+    """Regions of a bounded length that have segments."""
+    return [r for r in regions(text, SHORT_REGION) if r.segments]
+
+
+def _scores(segments: list[tuple[int, int, list[int]]], weights: np.ndarray) -> np.ndarray:
+    return np.array([weights[:, f].sum(axis=1) for _, _, f in segments])
 
 
 def likelihood(region: Region, gold: list[tuple[int, int, int]], weights: np.ndarray) -> tuple[float, np.ndarray]:
     """Log-likelihood of the gold segments (first token, end token, kind), and its gradient, by forward and backward sums.  Tokens outside segments score 0."""
-    n, scores = len(region.edges) - 1, _scores(region, weights)
+    n, scores = len(region.edges) - 1, _scores(region.segments, weights)
     ending: list[list[int]] = [[] for _ in range(n + 1)]
     starting: list[list[int]] = [[] for _ in range(n + 1)]
     for i, (a, b, _) in enumerate(region.segments):
@@ -185,25 +201,29 @@ def likelihood(region: Region, gold: list[tuple[int, int, int]], weights: np.nda
 
 def decode(region: Region, weights: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, int]]:
     """The best (start, kind, end) of the region; a segment counts margin less than it scores.  Ties go to fewer and earlier segments."""
-    n, scores = len(region.edges) - 1, _scores(region, weights) - margin
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for i, (_, b, _) in enumerate(region.segments):
-        ending[b].append(i)
-    best, by = [0.0] * (n + 1), [-1] * (n + 1)
-    for t in range(1, n + 1):
-        best[t] = best[t - 1]
-        for i in ending[t]:
-            total = best[region.segments[i][0]] + scores[i].max()
-            if total > best[t]:
-                best[t], by[t] = total, i
+    n = len(region.edges) - 1
+    # To each token edge: the best total, and the start and kind of the segment that ends there in it (-1: none).
+    best, by = [0.0] * (n + 1), [(-1, -1)] * (n + 1)
+    more = [-np.inf] * (n + 1)
+    for first in range(0, n, TOKENS_AT_ONCE):
+        segments = region.segments_from(first, first + TOKENS_AT_ONCE)
+        scores = _scores(segments, weights) - margin
+        i = 0
+        for t in range(first, min(n, first + TOKENS_AT_ONCE)):
+            while i < len(segments) and segments[i][0] == t:
+                total, b = best[t] + scores[i].max(), segments[i][1]
+                if total > more[b]:
+                    more[b], by[b] = total, (t, int(scores[i].argmax()))
+                i += 1
+            best[t + 1] = max(best[t], more[t + 1])
+            if more[t + 1] <= best[t]:
+                by[t + 1] = (-1, -1)
     out, t = [], n
     while t > 0:
-        if by[t] < 0:
-            t -= 1
-            continue
-        a, b, _ = region.segments[by[t]]
-        out.append((region.edges[a], int(scores[by[t]].argmax()), region.edges[b]))
-        t = a
+        a, kind = by[t]
+        if a >= 0:
+            out.append((region.edges[a], kind, region.edges[t]))
+        t = a if a >= 0 else t - 1
     return out[::-1]
 
 
@@ -228,7 +248,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = RO
     """Weights (kinds x features) of greatest penalised likelihood, by gradient steps of a fixed number."""
     data = []
     for text, spans in examples:
-        for region in regions(text):
+        for region in short_regions(text):
             place = {e: i for i, e in enumerate(region.edges)}
             known = {(a, b) for a, b, _ in region.segments}
             gold, last = [], -1
@@ -259,7 +279,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_regions: int = 4
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                if text and (some := regions(text)):
+                if text and (some := short_regions(text)):
                     spans = base_spans(text)
                     for region in some:
                         a, b = max(0, region.start - 24), region.edges[-1] + 12

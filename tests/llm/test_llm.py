@@ -285,6 +285,24 @@ def test_the_field_adds_spans_and_leaves_clean_texts(spark):
     assert slope == pytest.approx(grad[3, 12], abs=1e-4)
 
 
+@pytest.mark.parametrize("gap", [" ", "  "])
+def test_long_lines_of_entities_are_one_region(spark, monkeypatch, gap):
+    entities = ["378282246310005"] * 10 if gap == " " else [f"41555501{i:02d}" for i in range(10)]
+    line = gap.join(entities)
+    places = [(line.find(e, i * (len(e) + len(gap))), i * (len(e) + len(gap)) + len(e)) for i, e in enumerate(entities)]
+    regions = pii.regions(f"see {line} end")
+    assert len(regions) == 1
+    known = {(regions[0].edges[a] - 4, regions[0].edges[b] - 4) for a, b, _ in regions[0].segments}
+    assert set(places) <= known
+    # weights that like the entity as it stands: the field finds each of them
+    weights = np.full((len(pii.KINDS), pii.FEATURES), 0.0)
+    weights[:, 0], weights[2, 24] = -5.0, 9.0
+    assert pii.text_spans(line, weights)[1] == [(a, 2, b) for a, b in places]
+    want = pii.text_spans(line * 40, weights)
+    monkeypatch.setattr(pii, "TOKENS_AT_ONCE", 7)
+    assert pii.text_spans(line * 40, weights) == want
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 12))
