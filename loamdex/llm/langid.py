@@ -25,6 +25,9 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SAMPLE_PER_LANG = 4000
 _SMOOTHING = 0.5
+#: Whether a text is like its language's: labelled documents of each language that show what is usual (about; at least, or the language takes any text), and deviations below their mean that are too many.
+USUAL_DOCS, LEAST_DOCS = 1000, 30
+DEVIATIONS = 16.0
 #: The matrix (BUCKETS x languages, 8 bytes each) is broadcast: more languages than this are refused.
 MAX_LANGUAGES = 500
 
@@ -77,13 +80,15 @@ class LanguageModel:
     priors: np.ndarray
     weights: np.ndarray
     orders: tuple[int, ...] = ORDERS
+    #: The smoothed n-gram count of each language; None for a model without languages.
+    totals: np.ndarray | None = None
 
-    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities of each row's n-grams (rows x languages), and its letters."""
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed log-probabilities of each row's n-grams (rows x languages), its letters, and its n-grams."""
         bucket, row, letters = gram_buckets(data, offsets, self.orders, len(self.weights))
         rows = len(offsets) - 1
         # The rows' counts are a sparse matrix; its product with the weights, language by language.
-        return np.stack([np.bincount(row, weights=self.weights[:, k][bucket], minlength=rows) for k in range(len(self.languages))], axis=1), letters
+        return np.stack([np.bincount(row, weights=self.weights[:, k][bucket], minlength=rows) for k in range(len(self.languages))], axis=1), letters, np.bincount(row, minlength=rows)
 
 
 def _pieces(data: np.ndarray, most: int):
@@ -97,6 +102,17 @@ def _pieces(data: np.ndarray, most: int):
         at = end
 
 
+def _sample(labelled: DataFrame, counts: dict[str, int], most: int) -> DataFrame:
+    """lang and text of about `most` labelled documents of each language (all, if fewer), by a hash of the id; a smaller sample is part of a larger one."""
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, most / n)) for k, n in counts.items()], "lang string, share double")
+    picked = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    return labelled.join(F.broadcast(shares), "lang").where(picked).select("lang", "text")
+
+
+def _labelled(docs: DataFrame, usable: Column | None) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
+
+
 def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """A model of docs (doc_id, text, lang) where usable holds and lang is not null.
 
@@ -104,17 +120,14 @@ def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...]
     sample_per_lang whole texts of each language, chosen by a hash of the id.
     More than MAX_LANGUAGES languages raise ValueError.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
+    labelled = _labelled(docs, usable)
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros((buckets, 0)), orders)
-    spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, sample_per_lang / n)) for k, n in counts.items()], "lang string, share double")
-    picked = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(10)), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = labelled.join(F.broadcast(shares), "lang").where(picked).select("lang", "text")
+    sample = _sample(labelled, counts, sample_per_lang)
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -138,15 +151,68 @@ def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...]
         held[r.bucket, place[r.lang]] = r.n
     held += _SMOOTHING
     priors = np.log(np.array([counts[k] for k in languages], float) / sum(counts.values()))
-    return LanguageModel(languages, priors, np.log(held / held.sum(axis=0)), orders)
+    return LanguageModel(languages, priors, np.log(held / held.sum(axis=0)), orders, held.sum(axis=0))
 
 
-def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+@dataclass
+class Usual:
+    """By language: the mean of documents' mean log-probabilities of an n-gram, their variance, and that of n-grams in a document."""
+
+    mean: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
+
+    def least(self, lang: np.ndarray, grams: np.ndarray, deviations: float, orders: int) -> np.ndarray:
+        """The least mean log-probability that a text of so many n-grams may have; a position's n-grams (one of each order) go together."""
+        return self.mean[lang] - deviations * np.sqrt(self.between[lang] + orders * self.within[lang] / np.maximum(1, grams))
+
+
+def usual(docs: DataFrame, model: LanguageModel, usable: Column | None = None, sample_per_lang: int = SAMPLE_PER_LANG) -> Usual:
+    """What the model gives labelled documents of each language that it has learned from, each without its own counts.
+
+    docs, usable and sample_per_lang are those of train().  A language of fewer
+    than LEAST_DOCS such documents takes any text (its mean is minus infinity).
+    """
+    labelled = _labelled(docs, usable)
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches):
+        model = shared.value
+        place, size = {k: i for i, k in enumerate(model.languages)}, len(model.weights)
+        for rows in batches:
+            langs = rows.column(0).to_pylist()
+            for block in blocks(rows.column(1)):
+                bucket, row, _ = gram_buckets(block.data, block.offsets, model.orders, size)
+                lang = np.array([place[x] for x in langs[block.first : block.first + block.rows]])
+                pair, n = np.unique(row * size + bucket, return_counts=True)
+                row, bucket = pair // size, pair % size
+                grams = np.bincount(row, weights=n, minlength=block.rows)
+                left = np.exp(model.weights[bucket, lang[row]]) * model.totals[lang[row]] - n
+                p = np.log(np.maximum(left, _SMOOTHING)) - np.log(model.totals[lang] - grams)[row]
+                some = np.flatnonzero(grams)
+                mean = np.bincount(row, weights=n * p, minlength=block.rows)[some] / grams[some]
+                square = np.bincount(row, weights=n * p * p, minlength=block.rows)[some] / grams[some]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array(lang[some], pa.int64()), "mean": pa.array(mean, pa.float64()), "within": pa.array(square - mean**2, pa.float64())})
+
+    judged = _sample(labelled, counts, min(USUAL_DOCS, sample_per_lang)).mapInArrow(judge, "lang long, mean double, within double")
+    found = judged.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("mean").alias("mean"), F.var_pop("mean").alias("between"), F.avg("within").alias("within")).collect()
+    k = len(model.languages)
+    out = Usual(np.full(k, -np.inf), np.zeros(k), np.zeros(k))
+    for r in found:
+        if r.n >= LEAST_DOCS:
+            out.mean[r.lang], out.between[r.lang], out.within[r.lang] = r.mean, r.between, max(0.0, r.within)
+    return out
+
+
+def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred", score_name: str = "score", like: Usual | None = None, deviations: float = DEVIATIONS) -> DataFrame:
     """docs with the predicted language and its posterior probability.
 
     Null texts, and texts without a letter, get `und` and score 0; so does
     every text if the model has learned no language.  Long texts are scored
-    whole, part by part.  Ties go to the language that sorts first.  Columns of
+    whole, part by part.  With `like`, texts whose mean log-probability of an
+    n-gram is more than `deviations` below what is usual in the predicted
+    language get `und` and score 0, too.  Ties go to the language that sorts first.  Columns of
     the two names are replaced, all others pass through; an empty table gives
     no rows.
     """
@@ -165,16 +231,18 @@ def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred",
                     scores += [0.0] * block.rows
                     continue
                 if block.rows == 1 and len(block.data) > BLOCK_BYTES:
-                    sums, letters = np.zeros((1, len(model.languages))), np.zeros(1, np.int64)
+                    sums, letters, grams = np.zeros((1, len(model.languages))), np.zeros(1, np.int64), np.zeros(1, np.int64)
                     for part in _pieces(block.data, BLOCK_BYTES):
-                        more, some = model.sums(part, np.array([0, len(part)]))
-                        sums, letters = sums + more, letters + some
+                        more, some, count = model.sums(part, np.array([0, len(part)]))
+                        sums, letters, grams = sums + more, letters + some, grams + count
                 else:
-                    sums, letters = model.sums(block.data, block.offsets)
-                sums = sums + model.priors
+                    sums, letters, grams = model.sums(block.data, block.offsets)
+                plain, sums = sums, sums + model.priors
                 best = sums.argmax(axis=1)
                 share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 known = letters > 0
+                if like is not None:
+                    known &= plain[np.arange(len(best)), best] >= grams * like.least(best, grams, deviations, len(model.orders))
                 guesses += [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                 scores += np.where(known, share, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(guesses, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang_name, score_name])
@@ -194,10 +262,17 @@ def language_id(docs: DataFrame, held_out: tuple[int, int] = (3, 1)) -> DataFram
     return predict(rows.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
 
 
-def known_language(docs: DataFrame, least: float = 0.2, held_out: tuple[int, int] = (3, 1)) -> DataFrame:
-    """docs without those whose language is `und` or whose score is under `least` (no language is likely); same columns."""
+def known_language(docs: DataFrame, least: float = 0.2, held_out: tuple[int, int] = (3, 1), deviations: float = DEVIATIONS) -> DataFrame:
+    """docs without those whose language is `und`, whose score is under `least`, or which are unlike the labelled documents of their language; same columns.
+
+    A score is 1 / languages at least; what no learned language is likely for,
+    such as gibberish, goes by the mean log-probability of its n-grams, which is
+    more than `deviations` below what labelled documents show.
+    """
     lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
-    out = remainder(F.col("doc_id"), held_out[0]) == held_out[1]
-    model = train(keyed(docs, "lang"), ~out)
-    found = predict(docs, model, lang, score)
-    return (found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)) if model.languages else found).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, learned = keyed(docs, "lang"), remainder(F.col("doc_id"), held_out[0]) != held_out[1]
+    model = train(rows, learned)
+    if not model.languages:
+        return docs
+    found = predict(docs, model, lang, score, usual(rows, model, learned), deviations)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

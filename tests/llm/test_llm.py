@@ -419,6 +419,15 @@ def test_language_accuracy(spark):
     assert {r.lang_pred for r in langid.language_id(table(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(8)
+    rows = [tuple(r) for r in duckdb.sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    gibberish = [(10_000_000 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150)), None, "s") for i in range(40)]
+    foreign = [(20_000_000 + i, "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(400)), None, "s") for i in range(40)]
+    kept = {r.doc_id for r in langid.known_language(table(spark, rows + gibberish + foreign, False)).select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+
+
 def test_too_many_languages_are_refused(spark, monkeypatch):
     monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
     with pytest.raises(ValueError, match="languages"):
