@@ -21,6 +21,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +33,15 @@ from loamdex.llm.common import fresh, keyed, stored
 from loamdex.llm.components import components
 from loamdex.llm.textops import NOT_SPACE, Block, blocks, mix, windows, words
 
-#: Registers, their base and their greatest value less one; rows of a band.  A pair at similarity 0.8 is missed by all 48 bands once in 2 million.
-REGISTERS, BASE, LIMIT, ROWS = 288, 1.001, 65534, 6
-#: Members of a block that is verified at once, and of one that is compared by likelihood.
-BLOCK_DOCS, BLOCK_SKETCHES = 192, 2048
+#: Registers, their base and their greatest value less one.
+REGISTERS, BASE, LIMIT = 288, 1.001, 65534
+#: A pair at the threshold may share no band with this chance at most.  At 0.8 that gives 48 bands of 6 registers (5e-7).
+MISSED = 1e-6
+#: Members and shingles (about) of a block that is verified at once; members of one that is compared by likelihood.
+BLOCK_DOCS, BLOCK_SHINGLES, BLOCK_SKETCHES = 512, 1 << 20, 2048
+# Words of the query's contract, and A-Z to lower case.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SMALL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: A pair is dropped if its registers are e^SLACK times likelier at the best similarity under the threshold than at any from it on.
 SLACK = 14.0
 SHINGLE, PERCENT = 5, 80
@@ -43,21 +49,47 @@ SHINGLE, PERCENT = 5, 80
 BROADCAST_IDS = 2_000_000
 
 
-def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row; with fewer than n words, the whole sequence as one."""
-    of = words(block, NOT_SPACE)
-    all_, out = windows(of.hashes, n), []
-    for a, b in zip(of.firsts[:-1].tolist(), of.firsts[1:].tolist(), strict=True):
+def _sets(hashes: np.ndarray, firsts: np.ndarray, n: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of each row's shingles, from the words' hashes."""
+    all_, out = windows(hashes, n), []
+    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
         if b - a >= n:
             own = np.sort(all_[a : b - n + 1])
             keep = np.ones(len(own), bool)
             keep[1:] = own[1:] != own[:-1]
             out.append(own[keep])
         else:
-            out.append(windows(of.hashes[a:b], b - a) if b > a else all_[:0])
+            out.append(windows(hashes[a:b], b - a) if b > a else all_[:0])
     return out
 
 
+def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row; with fewer than n words, the whole sequence as one."""
+    of = words(block, NOT_SPACE)
+    return _sets(of.hashes, of.firsts, n)
+
+
+def exact_set(text: bytes, n: int) -> set:
+    """The shingles of a text themselves, as tuples of words."""
+    own = _WORD.findall(text.translate(_SMALL))
+    if len(own) < n:
+        return {tuple(own)} if own else set()
+    return set(zip(*(own[i:] for i in range(n)), strict=False))
+
+
+def checked_links(texts: list[bytes], sets: list[np.ndarray], n: int, percent: int, labels: np.ndarray | None = None, split: int | None = None) -> list[tuple[int, int]]:
+    """exact_links(), whose links are checked on the shingles' bytes; if a hash has misled them, all sets are compared by bytes."""
+    found, held = exact_links(sets, percent, labels, split), {}
+    for i, j in found:
+        x, y = (held[k] if k in held else held.setdefault(k, exact_set(texts[k], n)) for k in (i, j))
+        both = len(x & y)
+        if 100 * both < percent * (len(x) + len(y) - both):
+            numbers: dict = {}
+            plain = [np.array(sorted(numbers.setdefault(s, len(numbers)) for s in exact_set(t, n)), np.uint64) for t in texts]
+            return exact_links(plain, percent, labels, split)
+    return found
+
+
 @lru_cache(maxsize=4)
 def _functions(registers: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240)
@@ -76,7 +108,15 @@ def sketch(own: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
-def band_keys(sketches: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_rows(percent: int, registers: int = REGISTERS) -> int:
+    """Registers of a band: as many as leave pairs at the threshold a chance of MISSED at most to share none; ValueError if one is too many."""
+    for rows in range(16, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (registers // rows) <= MISSED:
+            return rows
+    raise ValueError("percent is too low for so many registers")
+
+
+def band_keys(sketches: np.ndarray, rows: int) -> np.ndarray:
     """documents x bands: a hash of each band's registers and number."""
     bands = sketches.shape[1] // rows
     parts = sketches[:, : bands * rows].reshape(len(sketches), bands, rows).astype(np.uint64)
@@ -209,15 +249,17 @@ def _ints(values) -> pa.Array:
 
 
 def _sketched(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, a 128-bit hash of the set (a, b) and the sketch of each document."""
+    """doc_id, n, a 128-bit hash of the set (a, b: of two independent hashes of the words) and the sketch of each document."""
 
     def sketch_all(batches):
         for batch in batches:
             for block in blocks(batch.column(1)):
-                sets = shingle_sets(block, n)
-                halves = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
-                a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*halves, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), _ints([len(s) for s in sets]), _ints(a), _ints(b), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "a", "b", "sketch"])
+                of = words(block, NOT_SPACE)
+                sets, others = _sets(of.hashes, of.firsts, n), _sets(of.other_hashes(), of.firsts, n)
+                a, b = (np.array([int(mix(s).sum(dtype=np.uint64)) for s in half], np.uint64).view(np.int64) for half in (sets, others))
+                sizes = [max(len(s), len(o)) for s, o in zip(sets, others, strict=True)]
+                columns = [batch.column(0).slice(block.first, block.rows), _ints(sizes), _ints(a), _ints(b)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "a", "b", "sketch"])
 
     return docs.mapInArrow(sketch_all, "doc_id long, n long, a long, b long, sketch binary")
 
@@ -242,15 +284,26 @@ def _verified(docs: DataFrame, rows: DataFrame, keys: list[str], n: int, percent
         ids, side = part["id"].to_numpy(), part["side"].to_numpy()
         sets = [s for block in blocks(part["text"]) for s in shingle_sets(block, n)]
         split = int((side == 0).sum())
-        found = exact_links(sets, percent, part["label"].to_numpy(), split if split < len(ids) else None)
+        texts = [t or b"" for t in part["text"].cast(pa.binary()).to_pylist()]
+        found = checked_links(texts, sets, n, percent, part["label"].to_numpy(), split if split < len(ids) else None)
         return pa.table({"a": _ints([ids[i] for i, _ in found]), "b": _ints([ids[j] for _, j in found])})
 
     return _texts_of(docs, rows).groupBy(*keys).applyInArrow(verify, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """rows (keys, id, ...) dealt to every pair of blocks (x, y), x <= y, of their group; side is 1 for the rows of y where x < y."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("of"))
+def _blocks_of(docs: int, shingles: int | None = None):
+    """The number of blocks of so many members, and of so many shingles (column n), at most (about)."""
+    by_docs = F.ceil(F.count(F.lit(1)) / docs)
+    return F.greatest(by_docs, F.ceil(F.sum("n") / shingles)).cast("int") if shingles else by_docs.cast("int")
+
+
+def _block_pairs(rows: DataFrame, keys: list[str], of) -> DataFrame:
+    """rows (keys, id, ...) dealt to every pair of blocks (x, y), x <= y, of their group; side is 1 for the rows of y where x < y.
+
+    The numbers of blocks are a table of their own, so that the join with it can
+    split the rows of a large group over tasks.
+    """
+    sizes = stored(rows.groupBy(*keys).agg(of.alias("of")), "sizes")
     dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("of")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     return dealt.select("*", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side")).drop("own", "other", "of")
@@ -263,13 +316,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     document's set holds its distinct shingles of so many words, or the whole
     sequence as one if it has fewer.  Documents are linked if 100 *
     intersection >= percent * union; component_id is the least doc_id that links
-    reach, itself included, and kept is true where it is the row's own.
+    reach, itself included, and kept is true where it is the row's own.  The
+    bands follow percent (band_rows()); a percent that they cannot serve is refused.
     Documents without words (or with null text) have the empty set and are
     linked with nothing.  Rows that share an id are one document.  A row with a
     null id is linked with nothing, has no component, and is kept.  An empty
     table gives no rows.
     """
-    docs = keyed(docs)
+    docs, rows_of_band = keyed(docs), band_rows(percent)
     known = docs.where(F.col("doc_id").isNotNull())
     base = stored(_sketched(docs, shingle), "sketches")
     full = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
@@ -277,7 +331,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def to_bands(batches):
         for batch in batches:
-            keys = band_keys(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, REGISTERS // ROWS), np.int64)
+            keys = band_keys(_matrix(batch.column(1)), rows_of_band) if batch.num_rows else np.zeros((0, REGISTERS // rows_of_band), np.int64)
             yield pa.RecordBatch.from_arrays([_ints(keys.ravel()), _ints(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["bucket", "id"])
 
     bands = nodes.select("id", "sketch").mapInArrow(to_bands, "bucket long, id long")
@@ -288,16 +342,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         for batch in batches:
             if batch.num_rows:
                 passed = may_link(_matrix(batch.column(2)), _matrix(batch.column(4)), batch.column(3).to_numpy(), batch.column(5).to_numpy(), percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["lead", "id"]).filter(pa.array(passed))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5)], names=["lead", "id", "n"]).filter(pa.array(passed))
 
     sketches = nodes.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     pairs = members.where("id <> lead").select("lead", "id").distinct()
     leaders = sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("s1"), F.col("n").alias("n1"))
     pairs = pairs.join(sketches, "id").join(leaders, "lead").select("lead", "id", "s1", "n1", "sketch", "n")
-    pairs = stored(pairs.mapInArrow(likely, "lead long, id long"), "pairs")
+    pairs = stored(pairs.mapInArrow(likely, "lead long, id long, n long"), "pairs")
 
     # A leader's members in blocks; the leader is in each of them.
-    counts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("of"))
+    counts = stored(pairs.groupBy("lead").agg(_blocks_of(BLOCK_DOCS, BLOCK_SHINGLES).alias("of")), "blocks")
     rows = pairs.join(counts, "lead").select("lead", F.pmod(F.xxhash64("id", F.lit(2)), F.col("of")).cast("int").alias("x"), "id")
     rows = rows.unionByName(rows.select("lead", "x", F.col("lead").alias("id")).distinct())
     links = stored(_verified(known, rows.select("*", F.lit(0).alias("side"), F.col("id").alias("label")), ["lead", "x"], shingle, percent), "links")
@@ -319,16 +373,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = possible_links(_matrix(part["sketch"]), part["n"].to_numpy(), label, percent, split if split < len(ids) else None)
         return pa.table({"a": _ints([label[i] for i, _ in found]), "b": _ints([label[j] for _, j in found])})
 
-    chances = stored(_block_pairs(mixed, ["bucket"], BLOCK_SKETCHES).join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long"), "chances")
+    chances = stored(_block_pairs(mixed, ["bucket"], _blocks_of(BLOCK_SKETCHES)).join(sketches, "id").groupBy("bucket", "x", "y").applyInArrow(maybe, "a long, b long"), "chances")
     if chances.limit(1).count():
         # Components that a possible link joins make a group; its members that met in such buckets are compared, but for what is one component already.
         groups = components(chances).select(F.col("id").alias("label"), F.col("component").alias("lead"))
-        ends = stored(mixed.select("id", "label").distinct().join(groups, "label"), "ends")
-        more = _verified(known, _block_pairs(ends, ["lead"], BLOCK_DOCS), ["lead", "x", "y"], shingle, percent)
+        ends = stored(mixed.select("id", "label").distinct().join(groups, "label").join(sketches.select("id", "n"), "id"), "ends")
+        dealt = _block_pairs(ends, ["lead"], _blocks_of(BLOCK_DOCS, BLOCK_SHINGLES)).drop("n")
+        more = _verified(known, dealt, ["lead", "x", "y"], shingle, percent)
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
+    # Empty sets take no part in the join: they would all meet in one key.
     linked = nodes.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
-    out = base.select("doc_id", "n", "a", "b").join(linked, ["a", "b", "n"], "left")
+    rows = base.select("doc_id", "n", "a", "b")
+    out = rows.where("n > 0 and doc_id is not null").join(linked, ["a", "b", "n"]).select("doc_id", "n", "component")
+    out = out.unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("bigint").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -11,15 +11,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one array operation works on; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 18
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Longer runs of bytes are hashed one by one.
+LONG_RUN = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -71,18 +71,6 @@ def blocks(texts: pa.Array | pa.ChunkedArray, most: int = BLOCK_BYTES) -> Iterat
         at = end
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _MULTIPLIER, np.uint64), np.full(size, pow(_MULTIPLIER, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier modulo 2^64, and of its inverse."""
-    return _powers(max(BLOCK_BYTES * 2, 1 << int(size).bit_length()))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(32))
@@ -109,13 +97,35 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
 
-def run_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes, from prefix sums of a polynomial."""
-    up, down = powers(len(low) + 1)
-    sums = np.empty(len(low) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(low)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+#: By a number of bytes, 0 to 8: the bits of so many little-endian bytes.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def chunks_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data on, as one little-endian integer; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def run_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; other seeds give independent hashes.
+
+    Eight bytes at a time go through a bijective mix, so runs of up to 8 bytes
+    and one length never share a hash, and no arithmetic structure of longer
+    ones (as in a polynomial) makes them collide.
+    """
+    sizes, at8 = ends - starts, chunks_at(low)
+    out = mix(sizes.astype(np.uint64) + np.uint64((2 * seed + 1) * 0xA24BAED4963EE407 % 2**64))
+    todo = np.flatnonzero(sizes <= LONG_RUN)
+    at, left = starts[todo], sizes[todo]
+    while len(todo):
+        chunk = at8[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        out[todo] = mix((out[todo] ^ chunk) + np.uint64(0x9E3779B97F4A7C15))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG_RUN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(low[starts[i] : ends[i]].tobytes(), seed)
+    return out
 
 
 @dataclass
@@ -128,6 +138,10 @@ class Words:
     hashes: np.ndarray
     firsts: np.ndarray
 
+    def other_hashes(self) -> np.ndarray:
+        """Hashes of the words that are independent of `hashes`."""
+        return run_hashes(self.low, self.starts, self.ends, 1)
+
     def key(self, i: int, n: int) -> bytes:
         """n words from word i on, joined by a blank."""
         return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.starts[i : i + n].tolist(), self.ends[i : i + n].tolist(), strict=True))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loamdex.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, token_count, topk
+from loamdex.llm import decontaminate, langid, line_dedup, mixing, near_dedup, pii, quality, queries, secret_scan, textops, token_count, topk
 from loamdex.llm.common import input_bytes
 from loamdex.llm.components import components
 from loamdex.llm.textops import NOT_SPACE, blocks, words
@@ -35,6 +35,10 @@ EDGES = [
     (9, "12345 678 !!!", "en", "s1"),
     (10, "one two three four five six seven eight nine ten eleven", "en", "s1"),
     (11, "ONE two three four five six seven eight nine ten eleven", "en", "s1"),
+    # two words that every polynomial hash modulo 2^64 takes for equal, and a long run of digits
+    (12, "".join("ab"[bin(i).count("1") % 2] for i in range(1024)), "en", "s1"),
+    (13, "".join("ba"[bin(i).count("1") % 2] for i in range(1024)), "en", "s1"),
+    (14, "7" * 200_000, "en", "s1"),
 ]
 BENCHMARK = [(1, "two three four five six seven eight nine ten eleven twelve"), (2, "second document"), (3, None), (4, ""), (None, "plain text"), (2, "zzz")]
 
@@ -88,7 +92,8 @@ def test_stages_on_edges_and_empty_tables(spark, name):
     assert {r.doc_id for r in rows} <= {r[0] for r in EDGES} and all(r.bucket == 7 for r in rows)
     assert STAGES[name](spark, table(spark, [])).collect() == []
     kept = sorted(r.doc_id or 0 for r in rows)
-    want = {"language": [0, 1, 4, 4, 5, 7, 8, 10, 11], "lines": [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11], "near": [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10], "leaks": [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11], "leaks_documents": [0, 2, 3, 5, 6, 7, 8, 9]}
+    every = [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]
+    want = {"language": [0, 1, 4, 4, 5, 7, 8, 10, 11, 12, 13], "lines": every, "near": [*every[:5], *every[6:12], 12, 13, 14], "leaks": every, "leaks_documents": [0, 2, 3, 5, 6, 7, 8, 9, 12, 13, 14]}
     if name in want:
         assert kept == want[name]
 
@@ -114,9 +119,10 @@ def near_brute(rows, n, percent=80):
     return {(d, len(s), find(d), find(d) == d) for (d, _), s in zip(rows, sets, strict=True)}
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, n):
+@pytest.mark.parametrize(("n", "percent"), [(2, 80), (5, 80), (1, 50), (3, 92)])
+def test_near_duplicates_equal_brute_force(spark, n, percent):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    rows += [(20_000 + r[0], r[1]) for r in EDGES if r[0] in (2, 3, 10, 11, 12, 13)]
     rng = random.Random(n)
     # a group of near copies around the threshold, so that links form chains and some pairs fall short
     base = [f"w{i}" for i in range(120)]
@@ -126,7 +132,32 @@ def test_near_duplicates_equal_brute_force(spark, n):
             own[k] = f"x{rng.randint(0, 40)}"
         rows.append((10_000 + i, " ".join(own)))
     docs = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(6)
-    assert {tuple(r) for r in near_dedup.near_duplicates(docs, n).collect()} == near_brute(rows, n)
+    assert {tuple(r) for r in near_dedup.near_duplicates(docs, n, percent).collect()} == near_brute(rows, n, percent)
+
+
+def test_bands_follow_the_threshold():
+    assert [near_dedup.band_rows(p) for p in (50, 80, 95)] == [2, 6, 13]
+    with pytest.raises(ValueError, match="too low"):
+        near_dedup.band_rows(3)
+
+
+def test_links_are_checked_on_bytes(monkeypatch):
+    texts = [b"a b c d e f g h i j", b"a b c d e f g h i k", b"q r s t", b"Q R S T u"]
+    sets = [s for block in blocks(pa.array([t.decode() for t in texts])) for s in near_dedup.shingle_sets(block, 1)]
+    assert near_dedup.checked_links(texts, sets, 1, 80) == near_dedup.exact_links(sets, 80) == [(0, 1), (2, 3)]
+    misled = [np.arange(4, dtype=np.uint64)] * 4  # as if all hashes were the same
+    assert near_dedup.checked_links(texts, misled, 1, 80) == [(0, 1), (2, 3)]
+
+
+def test_run_hashes_tell_words_apart():
+    runs_ = [bytes([i]) * n for i in (0, 1, 255) for n in (0, 1, 7, 8, 9, 16, 63, 64, 65, 200)] + [r[1].encode() for r in EDGES if r[0] in (12, 13)]
+    low = np.frombuffer(b"".join(runs_), np.uint8)
+    ends = np.cumsum([len(r) for r in runs_])
+    for seed in (0, 1):
+        found = textops.run_hashes(low, ends - [len(r) for r in runs_], ends, seed).tolist()
+        assert len(set(found)) == len(set(runs_))
+        alone = [textops.run_hashes(np.frombuffer(r, np.uint8), np.array([0]), np.array([len(r)]), seed)[0] for r in runs_]
+        assert found == alone  # whatever stands around
 
 
 def test_sketches_estimate_similarity():
