@@ -355,6 +355,69 @@ def test_top_k_equals_brute_force(spark):
     assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 3 * 1024 * 1024)]
 
 
+def best_brute(rows, is_query, k=10, scale=1024):
+    own = {(i, tuple(int(np.floor(scale * x)) for x in v)) for i, v in rows}
+    out = set()
+    for q, x in own:
+        if is_query(q):
+            best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in own if i != q and len(y) == len(x))[:k]
+            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    return out
+
+
+@pytest.mark.parametrize("values", [1 << 19, 900])
+def test_top_k_over_blocks_equals_brute_force(spark, monkeypatch, values):
+    """Many blocks and cells, ties at k, equal vectors, several lengths, and one vector that a third of the rows share."""
+    monkeypatch.setattr(topk, "DATA_VALUES", values)
+    monkeypatch.setattr(topk, "QUERY_VALUES", values // 8)
+    monkeypatch.setattr(topk, "LEAF", 4)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, (centres[i % 12] + rng.normal(size=6) * 0.05).tolist()) for i in range(400)]
+    rows += [(1000 + i, [0.5] * 6) for i in range(300)] + [(2000 + i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(120)] + [(3000, [1.0]), (3010, [2.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0)
+    assert {tuple(r) for r in got.collect()} == best_brute(rows, lambda i: i % 10 == 0)
+
+
+def test_far_cells_are_pruned():
+    rng = np.random.default_rng(3)
+    tight = [c + rng.integers(-3, 4, (200, 8)) for c in rng.integers(-900, 900, (20, 8))]
+    data = np.concatenate(tight).astype(float)
+    search = topk.Search(data[::40], np.arange(0, len(data), 40), data, np.arange(len(data)), 10)
+    seen, base = [], search.base
+    search.base = lambda q, rows: (seen.append(len(q.rows) * len(rows)), base(q, rows))[1]
+    search.walk(topk.cover_tree(search.queries, leaf=topk.QUERY_LEAF), topk.cover_tree(search.data, leaf=topk.LEAF))
+    assert sum(seen) < 0.2 * len(search.queries) * len(data)
+
+
+def test_cover_trees_cover_and_separate():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(300, 5)) * 100, rng.normal(size=(100, 5)), np.zeros((20, 5))])
+    todo, seen = [topk.cover_tree(points, leaf=3)], 0
+    while todo:
+        node = todo.pop()
+        assert np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1)).max() <= node.radius + 1e-9 and node.radius <= 2.0**node.level
+        if not node.children:
+            seen += len(node.rows)
+            assert len(node.rows) <= 3 or node.radius == 0
+            continue
+        assert sorted(node.rows.tolist()) == sorted(np.concatenate([c.rows for c in node.children]).tolist())
+        assert any((c.centre == node.centre).all() for c in node.children)
+        apart = topk._apart(node.centres, node.centres)[np.triu_indices(len(node.children), 1)]
+        assert (apart > 2.0 ** (node.level - 1) - 1e-6).all() and all(c.radius <= 2.0 ** (node.level - 1) + 1e-6 for c in node.children)
+        todo += node.children
+    assert seen == len(points)
+
+
+def test_large_scores_are_exact():
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randint(-(2**29), 2**29)) for _ in range(3)]) for i in range(60)]
+    x = np.array([v for _, v in rows])
+    q, ids, scores = topk.best_pairs(x, np.arange(60), x, np.arange(60), 10)
+    want = best_brute(rows, lambda i: True, scale=1)
+    assert {(int(a), j, max(-(2**63), min(2**63 - 1, s))) for a, _, j, s in want} == {(int(a), j, s) for a, j, s in zip(q, ids, scores, strict=True)}
+
+
 def test_repeated_vectors_are_one_row(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(40)] + [(50, [9.0] * 4)] * 30 + [(0, [1.0] * 4)] * 12 + [(51, [9.0, 9.0, 9.0, 0.0]), (51, [0.0, 9.0, 9.0, 9.0])]
