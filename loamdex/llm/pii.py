@@ -2,20 +2,25 @@
 
 Regular expressions find base spans, which always stay.  Around them, and in
 any stretch of digits and separators or address-like text, the field scores
-whole segments, over regions of any length: a segment of a type has features of all its text (digits,
-groups, separators, checksum, neighbours), and dynamic programming over segment
-ends, with a bound on a segment's tokens, picks boundaries and types jointly.
-Its weights are trained on the spot, by gradient of the exact likelihood, on
-regions (cut to a bounded length) of a bounded sample of documents with the base spans as labels and with
-such typographic variants of them as base patterns do not know.
+whole segments, over regions of any length: a segment of a type has features of
+all its text (digits, groups, separators, checksum, neighbours), and dynamic
+programming over segment ends, with a bound on a segment's tokens, picks
+boundaries and types jointly.  Its weights are trained on the spot, by gradient
+of the exact likelihood, on regions (cut to a bounded length) of a bounded
+sample of documents with the base spans as labels, and on made-up examples: the
+entities in the ways that people write them, which base patterns do not know,
+and numbers that are none (dates, versions, sums, serial numbers).
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,21 +31,24 @@ from loamdex.llm.common import keyed
 
 # The base patterns of the query's contract.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Matches start at runs of digits only, as any other start in a run fails alike; so a long run is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 
-#: Parameters of the field: documents it learns from (about; by a hash of the id), tokens of a segment at most, training rounds, and how much likelier than no entity a span must be.
+#: Parameters of the field: documents it learns from (about; by a hash of the id), made-up examples, tokens of a segment at most, training rounds, and how much likelier than no entity a span must be.
 SAMPLE_DOCS = 4000
+MADE_UP = 600
 MAX_TOKENS = 24
-ROUNDS = 60
+ROUNDS = 40
 MARGIN = 1.0
-#: A stretch of text that may hold an entity: an address around @, or digits with what may stand between them.
-_REGION = r"[A-Za-z0-9._%%+-]{1,64}(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}){1,%s}|[+(]?[0-9](?:[\x20().\-/]{0,2}[0-9]){5,%s}"
-REGION = re.compile(_REGION % ("", ""))
-#: The same of a bounded length, to learn from.
-SHORT_REGION = re.compile(_REGION % (8, 63))
+#: Stretches of text that may hold an entity: digits with what may stand between them, and addresses around an @ or what stands for it.
+NUMBERS = re.compile(r"[+(]?(?<![0-9])[0-9](?:[\x20().\-/]{0,2}[0-9]){5,}")
+AT = re.compile(r"\x20?@\x20?|\x20?[\[(][aA][tT][\])]\x20?")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(][dD][oO][tT][\])]\x20?)[A-Za-z0-9-]++)+")
+#: Characters of a region at most, where the field learns.
+LEARNT_CHARS = 96
 #: First tokens whose segments are held at a time.
 TOKENS_AT_ONCE = 4096
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|.", re.S)
@@ -75,20 +83,30 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _name_start(text: str, at: int, least: int) -> int:
+    """Where the run of an address's name that ends at `at` starts, from least on."""
+    while at > least and (c := text[at - 1]) < "\x80" and (c.isalnum() or c in "._%+-"):
+        at -= 1
+    return at
+
+
 def _emails(text: str):
     """EMAIL.finditer(text), but that it starts at an @ and looks back, so that long words cost no time."""
     at, least = text.find("@"), 0
     while at >= 0:
-        first = at
-        while first > least and (c := text[first - 1]) < "\x80" and (c.isalnum() or c in "._%+-"):
-            first -= 1
+        first = _name_start(text, at, least)
         if first < at and (m := EMAIL.match(text, first)):
             least = m.end()
             yield m
         at = text.find("@", max(at + 1, least))
 
 
-FEATURES = 40
+FEATURES = 50
+
+
+# Shapes of dates, and of addresses whose signs are written out.
+_DATE = re.compile(r"(?:19|20)[0-9]{2}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?![0-9])|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}(?![0-9])")
+_MASKED = re.compile(r"[A-Za-z0-9._%+-]+(?:\x20?@\x20?|\x20?[\[(][aA][tT][\])]\x20?)[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(][dD][oO][tT][\])]\x20?)[A-Za-z0-9-]+)+")
 
 
 def _features(text: str, region_start: int, start: int, end: int, tokens: int) -> list[int]:
@@ -101,7 +119,7 @@ def _features(text: str, region_start: int, start: int, end: int, tokens: int) -
     parts = s.split(".")
     out += [1] if "@" in s else []
     out += [2] if EMAIL.fullmatch(s) else []
-    out += [3] if re.search(r"[\[(]at[\])]|[\[(]dot[\])]|\x20@|@\x20", s) and s[:1].isalnum() and s[-1:].isalnum() else []
+    out += [3] if re.search(r"(?i)[\[(]at[\])]|[\[(]dot[\])]|\x20@|@\x20", s) and s[:1].isalnum() and s[-1:].isalnum() else []
     out += [4] if "." in s else []
     out += [5] if len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else []
     out += [6] if len(parts) == 4 and all(p.isdigit() for p in parts) and any(len(p) > 3 or int(p) > 255 for p in parts) else []
@@ -132,6 +150,16 @@ def _features(text: str, region_start: int, start: int, end: int, tokens: int) -
     out += [37] if re.fullmatch(r"[0-9](?:[\x20.\-]?[0-9])+", s) else []
     out += [38] if 9 <= n <= 15 and re.fullmatch(r"(?:\+|00)[0-9][\x20().0-9/-]+[0-9]", s) else []
     out += [39] if len(set(digits)) == 1 and n > 6 else []
+    out += [40] if _DATE.match(s) else []
+    out += [41] if s[:2] == "00" and n >= 9 else []
+    out += [42] if n == 10 and groups == [3, 3, 4] else []
+    out += [43] if len(groups) >= 3 and len({c for c in s if not c.isdigit()}) == 1 and "/" in s else []
+    out += [44] if "." in s and len(groups) >= 3 and max(groups) <= 2 else []
+    out += [45] if _MASKED.fullmatch(s) else []
+    out += [46] if re.search(r"[\x20().\-/]{3}", s) else []
+    out += [47] if groups and groups[0] == 4 and digits[:2] in ("19", "20") and len(groups) > 1 else []
+    out += [48] if groups == [4, 4, 4, 4] or groups == [4, 6, 5] else []
+    out += [49] if len(groups) > 1 and s[0] in "+(" or s[:1] == "0" and len(groups) > 1 else []
     return out
 
 
@@ -160,18 +188,38 @@ class Region:
         return self.segments_from(0, len(self.edges) - 1)
 
 
-def regions(text: str, pattern: re.Pattern = REGION) -> list[Region]:
-    found = pattern.finditer(text) if re.search(r"@|[\[(]at[\])]|[0-9](?:[\x20().\-/]{0,2}[0-9]){5}", text) else ()
-    return [Region(text, m.start(), [m.start()] + [m.start() + t.end() for t in TOKEN.finditer(m[0])]) for m in found]
+def _stretches(text: str) -> list[tuple[int, int]]:
+    found, least = [(m.start(), m.end()) for m in NUMBERS.finditer(text)], 0
+    for m in AT.finditer(text) if "@" in text or "(" in text or "[" in text else ():
+        first = _name_start(text, m.start(), least)
+        if first < m.start() and (domain := DOMAIN.match(text, m.end())):
+            found.append((first, domain.end()))
+            least = domain.end()
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):  # what overlaps is one region
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def regions(text: str, most: int | None = None) -> list[Region]:
+    """Candidate regions, of any length; or cut to `most` characters, to learn from."""
+    out = []
+    for start, end in _stretches(text):
+        end = end if most is None else min(end, start + most)
+        out.append(Region(text, start, [start] + [start + t.end() for t in TOKEN.finditer(text[start:end])]))
+    return out
 
 
 def short_regions(text: str) -> list[Region]:
     """Regions of a bounded length that have segments."""
-    return [r for r in regions(text, SHORT_REGION) if r.segments]
+    return [r for r in regions(text, LEARNT_CHARS) if r.segments]
 
 
 def _scores(segments: list[tuple[int, int, list[int]]], weights: np.ndarray) -> np.ndarray:
-    return np.array([weights[:, f].sum(axis=1) for _, _, f in segments])
+    return np.array([weights[:, f].sum(axis=1) for _, _, f in segments]).reshape(len(segments), len(weights))
 
 
 def likelihood(region: Region, gold: list[tuple[int, int, int]], weights: np.ndarray) -> tuple[float, np.ndarray]:
@@ -227,24 +275,70 @@ def decode(region: Region, weights: np.ndarray, margin: float = MARGIN) -> list[
     return out[::-1]
 
 
-def _variants(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Copies of short contexts of base spans, with the span as it stands and written in other ways that people use."""
-    out = []
-    for start, kind, end in spans:
-        left, s, right = text[max(0, start - 24) : start], text[start:end], text[end : end + 12]
-        forms = [s]
-        if kind == 0:
-            forms += [s.replace("@", " [at] "), s.replace("@", "(at)").replace(".", "(dot)")]
-        elif kind == 2 and len(d := _digits(s)) == 16:
-            forms += [".".join(d[i : i + 4] for i in range(0, 16, 4)), "/".join(d[i : i + 4] for i in range(0, 16, 4))]
-        elif kind == 3:
-            forms += ["00" + s[1:], s.replace("-", "/")]
-        for form in forms:
-            out.append((left + form + right, [(len(left), kind, len(left) + len(form))]))
+def _card(rng: random.Random, size: int) -> str:
+    d = rng.choice("3456") + "".join(rng.choice("0123456789") for _ in range(size - 2))
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def _grouped(digits: str, sizes: tuple[int, ...], sep: str) -> str:
+    cuts = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    return sep.join(digits[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
+def made_up(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Short texts with the spans (start, kind, end) of the entities in them: a half have one, in any of the ways that people write it; the others have numbers that are none."""
+    rng, out = random.Random(seed), []
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+
+    def email() -> str:
+        at = rng.choice(["@", " [at] ", "[at]", "(at)", " (at) ", " @ ", "[AT]"])
+        dot = rng.choice([".", ".", "(dot)", "[dot]", " [dot] ", " (dot) "]) if at != "@" else "."
+        return rng.choice([word(), f"{word()}.{word()}", word() + number(2)]) + at + dot.join([word(), rng.choice(["org", "com", "net", "example", "de"])])
+
+    def card() -> str:
+        sep = rng.choice(["", " ", "-", ".", "/", "  "])
+        return _grouped(_card(rng, 15), (4, 6, 5), sep) if rng.random() < 0.2 else _grouped(_card(rng, 16), (4, 4, 4, 4), sep)
+
+    def phone() -> str:
+        sep = rng.choice([" ", "-", ".", "/"])
+        local = _grouped(str(rng.randint(2, 9)) + number(9), (3, 3, 4), sep)
+        own = str(rng.choice([1, 33, 34, 44, 49]))
+        return rng.choice([f"+{own}{sep}{local}", f"00{own}{sep}{local}", f"+{own} ({local[:3]}) {local[4:]}", f"({local[:3]}) {local[4:]}", local, f"00{own} {number(2)} {number(4)} {number(4)}", f"0{number(2)}{sep}{number(4)}{sep}{number(4)}", f"+{own}{number(9)}"])
+
+    def address() -> str:
+        return ".".join(str(rng.randint(0, 255)) for _ in range(4))
+
+    def serial(size: int) -> str:
+        while luhn(d := str(rng.randint(1, 9)) + number(size - 1)):
+            pass
+        return d
+
+    none = (
+        lambda: f"{rng.randint(1950, 2030)}{(s := rng.choice('-/.'))}{rng.randint(1, 12):02d}{s}{rng.randint(1, 28):02d}",
+        lambda: f"{rng.randint(1, 28):02d}{(s := rng.choice('-/.'))}{rng.randint(1, 12):02d}{s}{rng.randint(1950, 2030)}",
+        lambda: f"{rng.randint(1950, 2030)}-{rng.randint(1950, 2030)} {rng.randint(1950, 2030)}-{rng.randint(1950, 2030)}",
+        lambda: number(rng.randint(6, 8)), lambda: serial(rng.choice([11, 12, 13, 14, 16, 16, 16])), lambda: number(rng.randint(20, 40)),
+        lambda: ".".join(number(rng.randint(1, 2)) for _ in range(rng.randint(5, 6))), lambda: ".".join(str(rng.randint(256, 999)) for _ in range(4)),
+        lambda: _grouped("978" + number(10), (3, 1, 2, 6, 1), "-"), lambda: f"{number(3)}-{number(4)}", lambda: _grouped(serial(16), (4, 4, 4, 4), rng.choice(" -./")),
+        lambda: " ".join(number(rng.randint(1, 3)) for _ in range(rng.randint(6, 9))), lambda: f"{rng.randint(1, 9)}.{number(rng.randint(6, 12))}",
+    )
+    kinds, hints = (email, address, card, phone), (("mail", "contact", "write to"), ("host", "server", "ip"), ("card", "visa", "paid with"), ("call", "tel", "phone"))
+    for i in range(count):
+        left = " ".join(word() for _ in range(rng.randint(0, 3)))
+        right = rng.choice(["", ".", ", ", " "]) + " ".join([""] + [word() for _ in range(rng.randint(0, 2))])
+        kind = rng.randrange(4)
+        if i % 2:
+            entity = rng.choice(none)()
+        else:
+            entity = kinds[kind]()
+            left = f"{left} {rng.choice(hints[kind])}" if rng.random() < 0.4 else left
+        left += " " if left else ""
+        out.append((left + entity + right, [] if i % 2 else [(len(left), kind, len(left) + len(entity))]))
     return out
 
 
-def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = ROUNDS, l2: float = 0.02) -> np.ndarray:
+def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = ROUNDS, l2: float = 0.01) -> np.ndarray:
     """Weights (kinds x features) of greatest penalised likelihood, by gradient steps of a fixed number."""
     data = []
     for text, spans in examples:
@@ -270,8 +364,8 @@ def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = RO
     return weights
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_regions: int = 400) -> np.ndarray:
-    """Weights learned from about sample_docs documents (all, if fewer), of which most_regions texts with base spans or without, in the order of a hash, are used."""
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_regions: int = 400, examples: int = MADE_UP) -> np.ndarray:
+    """Weights learned from about sample_docs documents (all, if fewer), of which most_regions short stretches around regions, in the order of a hash, are used, and from made-up examples."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     rows = docs.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(9)), F.lit(1 << 20)) < share * (1 << 20))
 
@@ -288,8 +382,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_regions: int = 4
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([x for x, _ in out], pa.string()), pa.array([[list(s) for s in y] for _, y in out], pa.list_(pa.list_(pa.int32())))], names=["key", "text", "spans"])
 
     kept = rows.mapInArrow(found, "key string, text string, spans array<array<int>>").dropDuplicates(["key"]).orderBy("key").limit(most_regions).collect()
-    plain = [(r.text, [tuple(s) for s in r.spans]) for r in kept]
-    return fit(plain + [v for text, spans in plain[: most_regions // 4] for v in _variants(text, spans)])
+    return fit([(r.text, [tuple(s) for s in r.spans]) for r in kept] + made_up(examples, 1))
 
 
 def text_spans(text: str | None, weights: np.ndarray, margin: float = MARGIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -297,10 +390,13 @@ def text_spans(text: str | None, weights: np.ndarray, margin: float = MARGIN) ->
     if not text:
         return [], []
     base = base_spans(text)
+    # Base spans may overlap: up to each of them, in the order of starts, the furthest end.
+    starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     more = list(base)
     for region in regions(text):
         for start, kind, end in decode(region, weights, margin):
-            if all(end <= a or b <= start for a, _, b in base):
+            before = bisect_left(starts, end)  # base spans that start before the end
+            if not before or ends[before - 1] <= start:
                 more.append((start, kind, end))
     return base, sorted(more)
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -316,6 +317,56 @@ def test_the_field_adds_spans_and_leaves_clean_texts(spark):
     assert slope == pytest.approx(grad[3, 12], abs=1e-4)
 
 
+def segmentations(region):
+    """Every way to lay non-overlapping candidate segments with kinds, as lists of (segment number, kind)."""
+    segments, n = region.segments, len(region.edges) - 1
+    ways = {n: [[]]}
+    for t in range(n - 1, -1, -1):
+        ways[t] = list(ways[t + 1])
+        for i, (a, b, _) in enumerate(segments):
+            if a == t:
+                ways[t] += [[(i, k), *rest] for k in range(len(pii.KINDS)) for rest in ways[b]]
+    return ways[0]
+
+
+def test_the_field_equals_enumeration():
+    rng = np.random.default_rng(11)
+    for text in ("12 34567 89", "bob@x.org", "+1 415-555", "1234567 7654321"):
+        (region,) = pii.regions(text)
+        for _ in range(5):
+            weights = rng.normal(size=(len(pii.KINDS), pii.FEATURES))
+            score = lambda way, w=weights, r=region: sum(w[k, r.segments[i][2]].sum() for i, k in way)
+            ways = segmentations(region)
+            totals = np.array([score(w) for w in ways])
+            gold = [(region.segments[i][0], region.segments[i][1], k) for i, k in ways[-1]]
+            value = pii.likelihood(region, gold, weights)[0]
+            assert value == pytest.approx(totals[-1] - np.logaddexp.reduce(totals))
+            best = max(score(w) - 0.3 * len(w) for w in ways)
+            found = pii.decode(region, weights, 0.3)
+            numbers = {(region.edges[a], region.edges[b]): i for i, (a, b, _) in enumerate(region.segments)}
+            assert score([(numbers[a, b], k) for a, k, b in found]) - 0.3 * len(found) == pytest.approx(best)
+
+
+def test_the_field_finds_what_base_patterns_do_not():
+    weights = pii.fit(pii.made_up(pii.MADE_UP, 1))
+    hit = miss = wrong = 0
+    for text, gold in pii.made_up(600, 12345):
+        base, got = pii.text_spans(text, weights)
+        new = set(gold) - set(base)
+        hit, miss, wrong = hit + len(new & set(got)), miss + len(new - set(got)), wrong + len(set(got) - set(gold) - set(base))
+    assert hit >= 0.85 * (hit + miss) and hit >= 0.97 * (hit + wrong) and hit > 100
+    for text, span in (("mail bob (at) example.org now", (5, 0, 25)), ("bob[at]example[dot]org", (0, 0, 22)), ("call (415) 555-0100", (5, 3, 19))):
+        assert pii.text_spans(text, weights)[1] == [span]
+
+
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    for text in ("7" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 200_000, "+1" + "(" * 200_000, "1" * 100_000 + "." + "1" * 100_000):
+        pii.base_spans(text)
+        pii.regions(text)
+    assert time.perf_counter() - began < 6
+
+
 @pytest.mark.parametrize("gap", [" ", "  "])
 def test_long_lines_of_entities_are_one_region(spark, monkeypatch, gap):
     entities = ["378282246310005"] * 10 if gap == " " else [f"41555501{i:02d}" for i in range(10)]
