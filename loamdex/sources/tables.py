@@ -20,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used; all paths of an application lie in one folder."""
+    return f"{shared_folder(spark)}/loamdex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and lost executors cost a re-read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loamdex/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
