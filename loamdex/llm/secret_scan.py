@@ -11,12 +11,11 @@ expressions run on the JVM, inside whole-table expressions.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import keyed, stored
+from loamdex.llm.common import keyed, new_path, stored
 
 
 @dataclass(frozen=True)
@@ -76,6 +75,9 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 LEDGER = "blob binary, rule string, spans array<struct<start:int,end:int>>"
+HELD = "blob binary, found map<string,array<struct<start:int,end:int>>>"
+#: Keys that the rows of one content are dealt over.
+SALTS = 8
 
 
 def address(text: Column) -> Column:
@@ -124,6 +126,15 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
         wanted = ledger.where(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("rule", "spans"))).alias("old"))
         empty = F.create_map().cast("map<string,array<struct<start:int,end:int>>>")
         rows = rows.join(wanted, "blob", "full").select("blob", F.map_concat(F.coalesce("found", empty), F.coalesce("old", empty)).alias("found"))
+    return findings(versions, rows, rules), ledger_rows(new)
+
+
+def findings(versions: DataFrame, held: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """versions with the spans of their blobs in held (blob, found), a row a blob.
+
+    Rows of one content may be many (empty texts above all), so they are dealt
+    over SALTS keys; only blobs with spans, which are few, are repeated for it.
+    """
     none = F.array().cast("array<struct<start:int,end:int>>")
 
     def of_kind(i: int) -> Column:
@@ -131,11 +142,44 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end")))
 
     parts = [of_kind(i) for i in range(len(rules))]
-    spans = rows.select("blob", F.sort_array(F.concat(*parts)).alias("spans")).where(F.size("spans") > 0)
+    spans = held.select(F.col("blob").alias("__found"), F.sort_array(F.concat(*parts)).alias("spans")).where(F.size("spans") > 0)
+    spans = spans.select("*", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("__salt"))
     names = [c for c in versions.columns if c.lower() != "spans"]
-    joined = versions.select(*(F.col(f"`{c}`") for c in names), address(F.col("text")).alias("__blob")).join(spans.withColumnRenamed("blob", "__found"), F.col("__blob") == F.col("__found"), "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = versions.select(*(F.col(f"`{c}`") for c in names), address(F.col("text")).alias("__blob"), salt.alias("__own"))
+    joined = rows.join(spans, (F.col("__blob") == F.col("__found")) & (F.col("__own") == F.col("__salt")), "left")
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return joined.select(*(F.col(f"`{c}`") for c in names), F.coalesce("spans", nothing).alias("spans")), ledger_rows(new)
+    return joined.select(*(F.col(f"`{c}`") for c in names), F.coalesce("spans", nothing).alias("spans"))
+
+
+@dataclass
+class Ledger:
+    """A ledger in a folder: rows (blob, found), where found maps rule versions to the spans that they found, none included.
+
+    A scan appends what it saw for the first time, and reads all findings from
+    the ledger.  Scanning again, after a failure too, scans only what the ledger
+    lacks; pairs that two scans at once have both added count once.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def _exists(self) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(HELD).parquet(self.path)
+
+    def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """versions with spans, as scan_versions() gives them."""
+        known = self._exists()
+        scan_new(versions, ledger_rows(self.rows()) if known else None, rules).write.mode("append").parquet(self.path)
+        rows = self.rows()
+        if known:  # else each blob has one row
+            entries = F.array_distinct(F.flatten(F.collect_list(F.map_entries("found"))))
+            rows = rows.groupBy("blob").agg(F.map_from_entries(entries).alias("found"))
+        return findings(versions, rows, rules)
 
 
 def digest_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -144,11 +188,18 @@ def digest_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document; the first scan of an empty ledger."""
-    base = len(BASE_RULES)
+def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of each document.
+
+    The ledger is the one given, or that of the setting spark.loamdex.ledger (a
+    folder that all executors share); without both, a new one in the shared folder.
+    """
+    spark, base = docs.sparkSession, len(BASE_RULES)
+    if ledger is None:
+        ledger = Ledger(spark, spark.conf.get("spark.loamdex.ledger", None) or new_path(spark, "ledger"))
     # Only ids and addresses are joined to the findings; texts go no further than their blob.
-    found, _ = scan_versions(keyed(docs), None, rules)
+    found = ledger.scan(keyed(docs), rules)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     own = F.filter("spans", lambda s: s["kind"] < base)
-    return found.select("doc_id", *(count(k).alias(f"n_{BASE_RULES[k].kind}") for k in range(base)), F.sha2(digest_text(own, rules).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans"), rules).alias("spans"))
+    counts = (count(k).alias(f"n_{BASE_RULES[k].kind}") for k in range(base))
+    return found.select("doc_id", *counts, F.sha2(digest_text(own, rules).cast("binary"), 256).alias("base_sha256"), digest_text(F.col("spans"), rules).alias("spans"))

@@ -299,6 +299,28 @@ def test_the_ledger_is_incremental(spark):
     assert {tuple(r.spans[0]) for r in found.where("path = 'b.txt'").collect()} == {(0, 0, 10)}
 
 
+def test_the_ledger_is_kept(spark, tmp_path):
+    """A second scan scans nothing, a new blob alone, and a new rule version its own pairs; findings come from the ledger all the same."""
+    ledger = secret_scan.Ledger(spark, f"file://{tmp_path}/ledger")
+    rows = [("a.txt", 1, "secret=abcdef"), ("b.txt", 1, "secret=abcdef"), ("c.txt", 1, None), ("d.txt", 1, "")]
+    kind = "path string, version int, text string"
+    pairs = lambda: sorted((bytes(r.blob).hex()[:6], k) for r in ledger.rows().collect() for k in r.found)
+    seen = lambda found: sorted((r.path, r.version, [tuple(s) for s in r.spans]) for r in found.collect())
+    first = seen(ledger.scan(spark.createDataFrame(rows, kind)))
+    assert first == [("a.txt", 1, [(0, 0, 13)]), ("b.txt", 1, [(0, 0, 13)]), ("c.txt", 1, []), ("d.txt", 1, [])]
+    assert len(pairs()) == 2 * len(secret_scan.RULES)
+    assert seen(ledger.scan(spark.createDataFrame(rows, kind))) == first and len(pairs()) == 2 * len(secret_scan.RULES)
+    rows.append(("a.txt", 2, "key AKIA" + "A" * 16))
+    assert len([1 for x in seen(ledger.scan(spark.createDataFrame(rows, kind))) if x[2]]) == 3 and len(pairs()) == 3 * len(secret_scan.RULES)
+    rules = (secret_scan.Rule("assign", r"(secret)=([a-c]+)", version=2, group=2, least=2), *secret_scan.RULES[1:])
+    found = seen(ledger.scan(spark.createDataFrame(rows, kind), rules))
+    assert ("b.txt", 1, [(0, 0, 10)]) in found and len([1 for x in found if x[2]]) == 3
+    assert sorted(k for _, k in pairs()).count("assign/2") == 3 and len(pairs()) == 3 * len(secret_scan.RULES) + 3
+    # two scans at once that both saw a blob: its pairs count once
+    secret_scan.scan_new(spark.createDataFrame(rows, kind)).write.mode("append").parquet(ledger.path)
+    assert seen(ledger.scan(spark.createDataFrame(rows[:4], kind))) == first
+
+
 def pii_brute(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
