@@ -98,7 +98,7 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 #: By a number of bytes, 0 to 8: the bits of so many little-endian bytes.
-_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def chunks_at(data: np.ndarray) -> np.ndarray:
@@ -119,7 +119,7 @@ def run_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     todo = np.flatnonzero(sizes <= LONG_RUN)
     at, left = starts[todo], sizes[todo]
     while len(todo):
-        chunk = at8[at] & _FIRST_BYTES[np.minimum(left, 8)]
+        chunk = at8[at] & FIRST_BYTES[np.minimum(left, 8)]
         out[todo] = mix((out[todo] ^ chunk) + np.uint64(0x9E3779B97F4A7C15))
         more = left > 8
         todo, at, left = todo[more], at[more] + 8, left[more] - 8

@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loamdex.llm.common import keyed
-from loamdex.llm.textops import blocks, mix, run_hashes
+from loamdex.llm.textops import FIRST_BYTES, blocks, chunks_at, mix
 
 _MARK = "▁"
 _MARK_BYTES = _MARK.encode()
 #: What an unknown character scores below the least score of the vocabulary.
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a task keeps, and characters that one step of the search holds.
-CACHE_SLOTS = 1 << 20
+CACHE_SLOTS = 1 << 19
+#: Bytes of a word, blank included, whose count may be kept.
+SHORT_WORD = 32
 STEP_CHARS = 1 << 21
 
 
@@ -232,13 +234,15 @@ class Automaton:
 
 
 class Counter:
-    """Counts tokens of batches; keeps the counts of words in a table of fixed size."""
+    """Counts tokens of batches; keeps the counts of short words, with the words themselves, in a table of fixed size."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.automaton, self.prefix = Automaton(vocabulary), vocabulary.dummy_prefix
         # Runs of unknown characters that meet across a cut would be one piece, so without byte fallback the blank must be a known piece.
         self.cuts = self.automaton.cuts and (vocabulary.byte_fallback or bool(self.automaton.known[ord(_MARK)]))
+        #: By slot: the word's hash, its bytes with size and place, and its count.
         self.keys, self.values = np.zeros(CACHE_SLOTS, np.uint64), np.zeros(CACHE_SLOTS, np.int64)
+        self.held = np.zeros((CACHE_SLOTS, SHORT_WORD // 8 + 1), np.uint64)
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
@@ -260,20 +264,46 @@ class Counter:
             ends = np.append(starts[1:], len(data))
             first = np.zeros(len(data) + 1, bool)
             first[begins] = self.prefix
-            hashes = run_hashes(data, starts, ends)
-            hashes = np.where(first[starts], mix(hashes + np.uint64(1)), hashes)
-            hashes[hashes == 0] = 1
-            unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            slot = (unique & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
-            found = np.where(self.keys[slot] == unique, self.values[slot], -1)
-            new = np.flatnonzero(found < 0)
-            words = [(_MARK if first[a] else "") + data[a:b].tobytes().decode().replace(" ", _MARK) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            found[new] = self.automaton.counts(words)
-            self.keys[slot[new]] = unique[new]
-            # of several new words in a slot one stays, and its count must be its own
-            self.values[slot[new]] = found[new]
+            counts = self._counts(data, starts, ends, first[starts])
             row = np.searchsorted(offsets, starts, side="right") - 1
-            out[block.first : block.first + block.rows] = np.bincount(row, weights=found[inverse], minlength=block.rows).astype(np.int64)
+            out[block.first : block.first + block.rows] = np.bincount(row, weights=counts, minlength=block.rows).astype(np.int64)
+        return out
+
+    def _counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The count of each word.  Words are the same if their bytes are; hashes only lead to them."""
+        spelled = lambda i: (_MARK if first[i] else "") + data[starts[i] : ends[i]].tobytes().decode().replace(" ", _MARK)
+        out, alone = np.zeros(len(starts), np.int64), np.flatnonzero(ends - starts > SHORT_WORD)
+        short = np.flatnonzero(ends - starts <= SHORT_WORD)
+        own = self._bytes(data, starts[short], ends[short], first[short])
+        hashes = np.full(len(short), np.uint64(1))
+        for k in range(own.shape[1]):
+            hashes = mix((hashes ^ own[:, k]) + np.uint64(0x9E3779B97F4A7C15))
+        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        slot = (unique & np.uint64(CACHE_SLOTS - 1)).astype(np.int64)
+        known = (self.keys[slot] == unique) & (self.held[slot] == own[where]).all(axis=1)
+        found, new = np.where(known, self.values[slot], -1), np.flatnonzero(~known)
+        found[new] = self.automaton.counts([spelled(i) for i in short[where[new]].tolist()])
+        # Of several new words in a slot one stays, with its own bytes and count.
+        kept = new[np.unique(slot[new], return_index=True)[1]]
+        self.keys[slot[kept]], self.held[slot[kept]], self.values[slot[kept]] = unique[kept], own[where[kept]], found[kept]
+        out[short] = found[inverse]
+        # Long words, and short ones that share a hash with another, are told apart by their spelling.
+        alone = np.concatenate([alone, short[(own != own[where][inverse]).any(axis=1)]])
+        if len(alone):
+            words = [spelled(i) for i in alone.tolist()]
+            distinct = list(dict.fromkeys(words))
+            of = dict(zip(distinct, self.automaton.counts(distinct).tolist(), strict=True))
+            out[alone] = [of[w] for w in words]
+        return out
+
+    @staticmethod
+    def _bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Words of SHORT_WORD bytes at most as integers: their bytes, eight a column, then size and whether they come first."""
+        at8, size = chunks_at(data), ends - starts
+        out = np.zeros((len(starts), SHORT_WORD // 8 + 1), np.uint64)
+        for k in range(SHORT_WORD // 8):
+            out[:, k] = at8[np.minimum(starts + 8 * k, len(data))] & FIRST_BYTES[np.clip(size - 8 * k, 0, 8)]
+        out[:, -1] = size * 2 + first
         return out
 
 

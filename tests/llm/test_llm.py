@@ -538,6 +538,38 @@ def test_token_counts_equal_a_public_tokenizer():
     assert counter(pa.array([None, ""])).tolist() == [0, 0]
 
 
+def test_the_token_query_equals_a_public_tokenizer(spark, tmp_path):
+    """The query over whole tables; then over long words and texts, with a cache of few slots and hashes that are all the same."""
+    from tokenizers import Tokenizer, models
+
+    with open(VOCABULARY, "rb") as f:
+        fields = [dict(token_count._fields(value)) for number, value in token_count._fields(f.read()) if number == 1]
+    public = Tokenizer(models.Unigram([(p[1].decode(), struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0]) for p in fields], unk_id=0, byte_fallback=True))
+    count = lambda t: len(public.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).tokens) if t else 0
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    assert sorted(map(tuple, queries.op8_token_count(spark, SF).collect())) == sorted((d, count(t)) for d, t in texts)
+    edges = [(r[0], r[1]) for r in EDGES if len(r[1] or "") < 50_000 and r[0] is not None]
+    assert sorted(map(tuple, token_count.token_counts(spark.createDataFrame(edges, "doc_id long, text string"), VOCABULARY).collect())) == sorted((d, count(t)) for d, t in edges)
+
+
+def one_hash(x, unique=np.unique, **more):
+    """np.unique(), for which all hashes are equal."""
+    return unique(x * 0 + 1 if x.dtype == np.uint64 else x, **more)
+
+
+def test_words_with_one_hash_keep_their_own_counts(monkeypatch):
+    vocabulary = token_count.Vocabulary(("▁", "a", "b", "aa", "▁a"), (-3.0, -1.0, -1.0, -1.5, -4.0), True, True)
+    texts = pa.array(["a b aa bbb aaaa b a", "bbb bb aa b", "b" * 100 + " " + "a" * 100, "a a a"])
+    counter = token_count.Counter(vocabulary)
+    want = counter(texts).tolist()
+    plain = [counter.automaton.counts(["▁" + t.replace(" ", "▁")])[0] for t in texts.to_pylist()]
+    assert want == plain
+    monkeypatch.setattr(token_count, "CACHE_SLOTS", 2)
+    monkeypatch.setattr(np, "unique", one_hash)
+    counter.keys[:], counter.held[:] = 0, 0
+    assert counter(texts).tolist() == plain and counter(texts).tolist() == plain
+
+
 def test_token_ties_keep_the_earlier_start():
     vocabulary = token_count.Vocabulary(("▁", "a", "aa", "aaa", "▁a"), (-3.0, -1.0, -2.0, -3.0, -4.0), True, True)
     # ▁ a a a, ▁ aa a, ▁ aaa, ▁a aa all score -6: the last piece that starts earliest wins
