@@ -69,12 +69,36 @@ class Analyzer:
         """All tokens of all keywords; keywords that analyze to nothing drop out."""
         return [t for k in keywords for t in self.analyze(k) if t]
 
-    def occurrences(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, pos, term) of docs (doc_id, text); pos counts what stop words leave, from 0."""
-        found = docs.select("doc_id", F.posexplode(self.tokens(F.col("text"))).alias("pos", "term"))
+    def analyzed(self, docs: DataFrame, *own: str) -> DataFrame:
+        """(own columns, doc_id, terms) of docs (doc_id, text, own columns): each text's terms in order.
+
+        Stemming runs in Arrow batches, over the distinct terms of each; nothing is shuffled for it.
+        """
+        found = docs.select(*own, "doc_id", self.tokens(F.col("text")).alias("terms"))
         if self.stem is None:
             return found
-        return found.join(stemmed(found.select("term").distinct(), self.stem), "term").select("doc_id", "pos", F.col("stem").alias("term"))
+        stem = self.stem
+
+        def run(batches):
+            import pyarrow as pa
+            import pyarrow.compute  # noqa: F401
+
+            for batch in batches:
+                lists = batch.column(batch.num_columns - 1)
+                coded = lists.flatten().dictionary_encode()
+                stems = pa.array([stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+                # Only the dictionary is stemmed; offsets start anew, as flatten() leaves out what lies before.
+                sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy()
+                offsets = pa.array([0, *sizes.cumsum().tolist()], pa.int32())
+                terms = pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], terms], names=batch.schema.names)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema)
+        return found.mapInArrow(run, kinds)
+
+    def occurrences(self, docs: DataFrame, *own: str) -> DataFrame:
+        """(own columns, doc_id, pos, term) of docs (doc_id, text, own columns); pos counts what stop words leave, from 0."""
+        return self.analyzed(docs, *own).select(*own, "doc_id", F.posexplode("terms").alias("pos", "term"))
 
 
 def stemmed(terms: DataFrame, stem: Callable[[str], str]) -> DataFrame:

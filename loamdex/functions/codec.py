@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,5 +67,33 @@ def delta_decode(data: Column, start: Column | None = None, length: Column | Non
 
 
 def delta_size(values: Column) -> Column:
-    """The number of bytes that delta_encode() would give."""
-    return F.length(delta_encode(values))
+    """The number of bytes that delta_encode() would give, without making them."""
+    values = F.coalesce(values, F.array().cast(_EMPTY)).cast(_EMPTY)
+    zero = F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("last"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = x - acc["last"]
+        size = F.lit(9)
+        for n in range(8, 0, -1):
+            size = F.when(gap < 1 << 7 * n, n).otherwise(size)
+        return F.struct((acc["size"] + size).alias("size"), x.alias("last"))
+
+    return F.aggregate(values, zero, step, lambda acc: acc["size"])
+
+
+def naive_size(values: Column) -> Column:
+    """The number of bytes that naive_encode() would give."""
+    return F.when(values.isNull(), 0).otherwise(4 * F.size(values)).cast("bigint")
+
+
+@dataclass(frozen=True)
+class Compressor:
+    """A codec of integer lists, as an index stores them; any pair of such Column functions makes one."""
+
+    name: str
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+
+
+NAIVE = Compressor("naive", naive_encode, naive_decode)
+DELTA = Compressor("delta", delta_encode, delta_decode)

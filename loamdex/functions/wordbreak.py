@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions.analysis import STOP_WORDS
@@ -72,10 +72,20 @@ class WordBreaker:
         return cls({r.word: math.log(r.p) for r in rows if r.p > 0}, on_error)
 
     def column(self, text: Column) -> Column:
-        """array<string> of a string Column, in Arrow batches."""
+        """array<string> of a string Column, in Arrow batches; each batch segments its distinct texts, and the dictionary is broadcast once."""
+        spark = SparkSession.getActiveSession()
+        shared = spark.sparkContext.broadcast(self)
+
         def run(texts):
-            return texts.map(self.tokenize)
+            breaker = shared.value
+            of = {t: breaker.tokenize(t) for t in texts.drop_duplicates()}
+            return texts.map(of)
 
         run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
         return F.pandas_udf(run, "array<string>")(text)
 
+
+
+def japanese_breaker(entries: DataFrame, on_error: str = "fail") -> WordBreaker:
+    """A segmenter of Japanese text, by a Japanese dictionary (word, freq, line_no); nothing of another language stays in it."""
+    return WordBreaker.of(probabilities(entries), on_error)

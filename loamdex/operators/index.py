@@ -4,29 +4,35 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.functions.analysis import Analyzer
+from loamdex.functions.codec import Compressor
 from loamdex.sources.store import number_rows
 
 FLUSH_DOCS, MERGE_SEGMENTS = 1000, 8
+#: Text of a segment (about), where no number of documents is given; never fewer than FLUSH_DOCS documents.
+SEGMENT_BYTES = 256 << 20
+#: Manifests whose files stay when old ones are removed.
+KEPT_VERSIONS = 2
 
 
 def assign_segments(docs: DataFrame, threshold: int = FLUSH_DOCS) -> DataFrame:
     """docs with segment_id and local_id: by doc_id, `threshold` documents a segment."""
     rows = number_rows(docs, "doc_id", "rn")
-    return rows.select(*docs.columns, F.floor((F.col("rn") - 1) / threshold).cast("int").alias("segment_id"), ((F.col("rn") - 1) % threshold).cast("int").alias("local_id"))
+    at = F.col("rn") - 1
+    return rows.select(*docs.columns, F.floor(at / threshold).cast("int").alias("segment_id"), (at % threshold).cast("int").alias("local_id"))
 
 
 def build_postings(docs: DataFrame, analyzer: Analyzer, positional: bool = True) -> DataFrame:
     """(term, doc_id, tf, positions) of docs (doc_id, text); with segment_id and local_id if docs has them."""
     own = [c for c in ("segment_id", "local_id") if c in docs.columns]
-    found = analyzer.occurrences(docs)
-    if own:
-        found = found.join(docs.select("doc_id", *own), "doc_id")
+    found = analyzer.occurrences(docs, *own)
     aggs = [F.count(F.lit(1)).alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positional else [])
     return found.groupBy(*own, "term", "doc_id").agg(*aggs)
 
@@ -53,18 +59,31 @@ def merge_segments(rows: DataFrame, counts: DataFrame | None = None) -> DataFram
     counts has (segment_id, docs); a last segment without a partner stays whole.
     """
     counts = rows.groupBy("segment_id").agg(F.count(F.lit(1)).alias("docs")) if counts is None else counts
-    left = counts.select((F.col("segment_id") + 1).alias("segment_id"), F.col("docs").alias("shift"))
-    moved = rows.join(F.broadcast(left), "segment_id", "left")
-    shift = F.when(F.col("segment_id") % 2 == 1, F.coalesce("shift", F.lit(0))).otherwise(0)
-    return moved.select(F.floor(F.col("segment_id") / 2).cast("int").alias("segment_id"), (F.col("local_id") + shift).cast("int").alias("local_id"), *(c for c in rows.columns if c not in ("segment_id", "local_id")))
+    left = counts.where("segment_id % 2 = 0").select((F.col("segment_id") + 1).alias("segment_id"), F.col("docs").alias("shift"))
+    moved = rows.join(left, "segment_id", "left")
+    local = F.col("local_id") + F.coalesce("shift", F.lit(0))
+    others = (c for c in rows.columns if c not in ("segment_id", "local_id"))
+    return moved.select(F.floor(F.col("segment_id") / 2).cast("int").alias("segment_id"), local.cast("int").alias("local_id"), *others)
+
+
+class Conflict(RuntimeError):
+    """Another writer has published the version that this one was about to."""
+
+
+class Superseded(RuntimeError):
+    """Another merge has replaced the segments that this one has merged."""
 
 
 @dataclass
 class Index:
-    """An index folder: documents and postings by segment_id, versions of both, and a manifest that names the current one.
-
-    A commit writes new files first and the manifest last, so readers see the old
-    state or the new one.
+    """An index folder: documents, postings and segment sizes in batches, and numbered manifests that name the batches.
+
+    A batch is what one flush or merge wrote; it holds its segments by number
+    from 0, and the manifest gives their first id, so ids are 0, 1, 2, ... over
+    all batches.  A commit writes files first and then the next manifest, under
+    a number that must be free; readers take the greatest complete one, so they
+    see the old state or the new one, and no update is lost.  With a compressor,
+    positions are stored as its bytes.
     """
 
     spark: SparkSession
@@ -72,93 +91,212 @@ class Index:
     analyzer: Analyzer = field(default_factory=Analyzer)
     positional: bool = True
     merge_at: int = MERGE_SEGMENTS
+    compressor: Compressor | None = None
 
     def _file(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._file(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _state(self, name: str) -> dict | None:
+        """A manifest; None if its writer has not finished it."""
+        fs, path = self._file(f"manifests/{name}")
+        stream = fs.open(path)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
     def manifest(self) -> dict:
-        fs, path = self._file("manifest.json")
-        if not fs.exists(path):
-            return {"segments": [], "deleted": []}
-        return json.loads(self.spark.read.text(str(path.toString()), wholetext=True).first()[0])
+        """The current state: its version, batches (name, first, segments, docs), deleted terms, and streams' last batches."""
+        for name in reversed(self._names("manifests")):
+            if (state := self._state(name)) is not None:
+                return state
+        return {"version": 0, "batches": [], "deleted": [], "streams": {}}
 
     def _publish(self, state: dict) -> None:
-        fs, path = self._file("manifest.json")
-        _, new = self._file(f"manifest-{uuid.uuid4().hex}")
-        out = fs.create(new, True)
+        """The state as the version after the one that it was read from; Conflict if another writer was first."""
+        state = {**state, "version": state["version"] + 1}
+        fs, path = self._file(f"manifests/{state['version']:012d}.json")
+        if fs.exists(path):
+            raise Conflict(f"version {state['version']} is taken")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            raise Conflict(f"version {state['version']} is taken") from e
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
-        fs.rename(new, path)
 
-    def _read(self, kind: str, names: list[str]) -> DataFrame:
-        positions = ", positions array<int>" if self.positional else ""
-        schema = {"docs": "doc_id long, text string, local_id int, segment_id int", "postings": f"term string, doc_id long, local_id int, tf long{positions}, segment_id int"}[kind]
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{kind}/{n}" for n in names))
+    def _update(self, change: Callable[[dict], dict]) -> dict:
+        """Publish a change of the current state, again on the newer one where another writer was first."""
+        while True:
+            try:
+                state = change(self.manifest())
+                self._publish(state)
+                return state
+            except Conflict:
+                continue
+
+    def _read(self, kind: str, batches: list[dict], keep_bytes: bool = False) -> DataFrame:
+        """A table of batches, with the ids that the manifest gives their segments."""
+        positions = "" if not self.positional else ", positions array<int>" if self.compressor is None else ", positions binary"
+        schema = {"docs": "doc_id long, text string, local_id int, segment_id int", "postings": f"term string, doc_id long, local_id int, tf long{positions}, segment_id int", "segments": "segment_id int, docs long"}[kind]
+        out = None
+        for b in batches:
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{b['name']}")
+            if b["first"]:
+                rows = rows.withColumn("segment_id", (F.col("segment_id") + b["first"]).cast("int"))
+            out = rows if out is None else out.unionByName(rows)
+        out = self.spark.createDataFrame([], schema) if out is None else out
+        if kind == "postings" and self.positional and self.compressor is not None and not keep_bytes:
+            out = out.withColumn("positions", self.compressor.decode(F.col("positions")).cast("array<int>"))
+        return out
+
+    def _table(self, kind: str, segment: int | None, state: dict | None = None, keep_bytes: bool = False) -> DataFrame:
+        batches = (state or self.manifest())["batches"]
+        if segment is None:
+            return self._read(kind, batches, keep_bytes)
+        held = [b for b in batches if b["first"] <= segment < b["first"] + b["segments"]]
+        return self._read(kind, held, keep_bytes).where(F.col("segment_id") == segment)
 
     def documents(self, segment: int | None = None) -> DataFrame:
-        """All documents by segment and local id, or those of one segment."""
-        state = self.manifest()["segments"]
-        rows = self._read("docs", sorted({s["name"] for s in state if segment is None or s["id"] == segment}))
-        return rows if segment is None else rows.where(F.col("segment_id") == segment)
+        """All documents, or those of one segment."""
+        return self._table("docs", segment)
+
+    def segments(self) -> DataFrame:
+        """(segment_id, docs)."""
+        return self._table("segments", None)
 
     def postings(self, segment: int | None = None, hidden: bool = True) -> DataFrame:
         """Postings without deleted terms (hidden=False: with them)."""
         state = self.manifest()
-        rows = self._read("postings", sorted({s["name"] for s in state["segments"] if segment is None or s["id"] == segment}))
-        rows = rows if segment is None else rows.where(F.col("segment_id") == segment)
+        rows = self._table("postings", segment, state)
         return rows.where(~F.col("term").isin(state["deleted"])) if hidden and state["deleted"] else rows
 
+    def lookup(self, term: str, segment: int | None = None) -> DataFrame:
+        """The posting list of one analyzed term, by segment and local id; files are sorted by term, so few row groups are read."""
+        return self.postings(segment).where(F.col("term") == term).orderBy("segment_id", "local_id")
+
+    def load(self, segment: int) -> DataFrame | None:
+        """A whole segment as one nested row (segment_id, documents, postings); None if it has no documents."""
+        if not self.num_documents(segment):
+            return None
+        docs = self.documents(segment).groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("local_id", "doc_id", "text"))).alias("documents"))
+        entry = F.struct("local_id", "tf", *(["positions"] if self.positional else []))
+        lists = self.postings(segment, hidden=False).groupBy("segment_id", "term").agg(F.sort_array(F.collect_list(entry)).alias("list"))
+        lists = lists.groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("term", "list"))).alias("postings"))
+        return docs.join(lists, "segment_id", "left")
+
     @property
     def num_segments(self) -> int:
-        return len(self.manifest()["segments"])
+        return sum(b["segments"] for b in self.manifest()["batches"])
 
     def num_documents(self, segment: int | None = None) -> int:
-        return sum(s["docs"] for s in self.manifest()["segments"] if segment is None or s["id"] == segment)
+        if segment is None:
+            return sum(b["docs"] for b in self.manifest()["batches"])
+        row = self._table("segments", segment).first()
+        return row.docs if row else 0
 
     def document_frequency(self, segment: int, token: str) -> int:
         return self.postings(segment, hidden=False).where(F.col("term") == token).count()
 
-    def _write(self, docs: DataFrame, postings: DataFrame) -> list[dict]:
-        """Both tables under one new name; the segments they hold."""
-        name = uuid.uuid4().hex
-        docs.write.partitionBy().parquet(f"{self.path}/docs/{name}")
-        # Sorted by term, so that a look-up skips row groups by their statistics.
-        postings.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term", "local_id").write.parquet(f"{self.path}/postings/{name}")
-        counts = self._read("docs", [name]).groupBy("segment_id").count().collect()
-        return [{"id": r.segment_id, "name": name, "docs": r["count"]} for r in sorted(counts, key=lambda r: r.segment_id)]
+    def stored_bytes(self) -> DataFrame:
+        """One row (bytes): those of all stored positions, as the compressor spells them."""
+        rows = self._table("postings", None, keep_bytes=True)
+        return rows.agg(F.coalesce(F.sum(F.length("positions").cast("long")), F.lit(0)).alias("bytes"))
 
-    def add(self, docs: DataFrame, threshold: int = FLUSH_DOCS) -> None:
-        """Flush docs (doc_id, text) as new segments; then merge, if there are merge_at or more."""
-        state = self.manifest()
-        first = 1 + max((s["id"] for s in state["segments"]), default=-1)
-        dealt = assign_segments(docs.select(F.col("doc_id").cast("long"), "text"), threshold).withColumn("segment_id", (F.col("segment_id") + first).cast("int"))
-        docs_out = dealt.select("doc_id", "text", "local_id", "segment_id")
-        postings = build_postings(dealt, self.analyzer, self.positional).select("term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id")
-        state["segments"] += self._write(docs_out, postings)
-        self._publish(state)
-        if len(state["segments"]) >= self.merge_at:
-            self.merge()
+    def _write(self, docs: DataFrame, postings: DataFrame, name: str) -> dict:
+        """Both tables under one name, and the sizes of the segments that they hold."""
+        if self.positional and self.compressor is not None:
+            postings = postings.withColumn("positions", self.compressor.encode(F.col("positions").cast("array<bigint>")))
+        docs.write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
+        # Sorted by term, so that a look-up skips row groups by their statistics.
+        dealt = postings.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term", "local_id")
+        dealt.write.mode("overwrite").parquet(f"{self.path}/postings/{name}")
+        batch = {"name": name, "first": 0}
+        counts = self._read("docs", [batch]).groupBy("segment_id").agg(F.count(F.lit(1)).alias("docs"))
+        counts.write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
+        size = self._read("segments", [batch]).agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+        return {**batch, "segments": size.segments, "docs": size.docs}
+
+    def _threshold(self, docs: DataFrame) -> int:
+        size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        return max(FLUSH_DOCS, int(SEGMENT_BYTES * size.n / max(1, size.bytes or 0)))
+
+    def add(self, docs: DataFrame, threshold: int | None = FLUSH_DOCS, stream: tuple[str, int] | None = None) -> None:
+        """Flush docs (doc_id, text) as new segments of so many documents (None: by their size); then merge, if there are merge_at or more.
+
+        stream: a stream's name and batch number; a batch that is in already is left out.
+        """
+        if stream is not None and stream[1] <= self.manifest()["streams"].get(stream[0], -1):
+            return
+        docs = docs.select(F.col("doc_id").cast("long"), "text")
+        dealt = assign_segments(docs, threshold or self._threshold(docs)).select("doc_id", "text", "local_id", "segment_id")
+        postings = build_postings(dealt, self.analyzer, self.positional)
+        columns = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
+        batch = self._write(dealt, postings.select(*columns), uuid.uuid4().hex if stream is None else f"{stream[0]}-{stream[1]}")
+
+        def change(state: dict) -> dict:
+            first = sum(b["segments"] for b in state["batches"])
+            batches = state["batches"] + ([{**batch, "first": first}] if batch["docs"] else [])
+            streams = state["streams"] if stream is None else {**state["streams"], stream[0]: stream[1]}
+            return {**state, "batches": batches, "streams": streams}
+
+        state = self._update(change)
+        if sum(b["segments"] for b in state["batches"]) >= self.merge_at:
+            with suppress(Superseded):
+                self.merge()
 
     def delete_term(self, keyword: str) -> None:
         """Hide the keyword's tokens from keyword, AND, OR and phrase search; the next merge removes them."""
-        state = self.manifest()
-        state["deleted"] = sorted({*state["deleted"], *self.analyzer.analyze(keyword)})
-        self._publish(state)
+        tokens = self.analyzer.analyze(keyword)
+        self._update(lambda state: {**state, "deleted": sorted({*state["deleted"], *tokens})})
 
     def merge(self) -> None:
-        """Merge segments in pairs, drop deleted terms, and forget the deletions."""
+        """Merge segments in pairs, drop deleted terms, and forget the deletions; then remove what no late manifest names."""
         state = self.manifest()
-        if not state["segments"]:
+        if not state["batches"]:
             return
-        numbers = {s["id"]: i for i, s in enumerate(sorted(state["segments"], key=lambda s: s["id"]))}
-        order = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
-        counts = self.spark.createDataFrame([(numbers[s["id"]], s["docs"]) for s in state["segments"]], "segment_id int, docs long")
-        docs, postings = (merge_segments(t.withColumn("segment_id", order[F.col("segment_id")]), counts) for t in (self.documents(), self.postings()))
-        names = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
-        self._publish({"segments": self._write(docs.select("doc_id", "text", "local_id", "segment_id"), postings.select(*names)), "deleted": []})
+        counts = self._table("segments", None, state)
+        rows = self._table("postings", None, state)
+        rows = rows.where(~F.col("term").isin(state["deleted"])) if state["deleted"] else rows
+        docs, postings = (merge_segments(t, counts) for t in (self._table("docs", None, state), rows))
+        columns = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
+        batch = self._write(docs.select("doc_id", "text", "local_id", "segment_id"), postings.select(*columns), uuid.uuid4().hex)
+        merged = {b["name"] for b in state["batches"]}
+
+        def change(now: dict) -> dict:
+            """Batches that came meanwhile follow; if another merge took any of these, this one is void."""
+            if not merged <= {b["name"] for b in now["batches"]}:
+                raise Superseded("another merge has replaced these segments")
+            batches, first = [batch], batch["segments"]
+            for b in now["batches"]:
+                if b["name"] not in merged:
+                    batches.append({**b, "first": first})
+                    first += b["segments"]
+            # Terms deleted meanwhile stay deleted.
+            return {**now, "batches": batches, "deleted": [t for t in now["deleted"] if t not in state["deleted"] or len(batches) > 1]}
+
+        self._update(change)
+        self.vacuum()
+
+    def vacuum(self, kept: int = KEPT_VERSIONS) -> int:
+        """Remove manifests but for the last `kept`, and the files of batches that these do not name; the number of paths removed.
+
+        Files of a flush that is under way have no manifest yet: run this when no
+        other writer is at work, or where a failed flush may be tried again.
+        """
+        names = self._names("manifests")
+        held, old = names[-kept:], names[:-kept]
+        used = {b["name"] for n in held for b in (self._state(n) or {"batches": []})["batches"]}
+        known = {b["name"] for n in old for b in (self._state(n) or {"batches": []})["batches"]}
+        gone = [f"{kind}/{n}" for kind in ("docs", "postings", "segments") for n in self._names(kind) if n in known - used]
+        for name in [*gone, *(f"manifests/{n}" for n in old)]:
+            fs, path = self._file(name)
+            fs.delete(path, True)
+        return len(gone) + len(old)

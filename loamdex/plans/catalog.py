@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,17 +12,21 @@ from loamdex.functions import codec
 from loamdex.functions.analysis import STOP_WORDS, Analyzer, naive_tokens, positions, punctuation_tokens
 from loamdex.functions.lists import list_intersect, list_union
 from loamdex.functions.porter import stem
-from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary, rewritten
+from loamdex.functions.wordbreak import WordBreaker, japanese_breaker, probabilities, read_dictionary, rewritten
 from loamdex.operators import index, search
 from loamdex.plans import graph, ranking
-from loamdex.sources.store import latest, number_rows, read_edges, read_nodes
-from loamdex.sources.tables import shared_folder
-from loamdex.streaming.ingest import read_segments, write_segments
+from loamdex.plans.engine import SearchEngine
+from loamdex.sources.store import DocumentStore, latest, number_rows, read_edges, read_folder, read_nodes
+from loamdex.sources.tables import new_path
+from loamdex.streaming.ingest import write_segments
 
 PLAIN = Analyzer()
 SEGMENT = 100
-KEYS, PHRASE2, PHRASE3, RANKED = ["tion", "ing", "ly"], ["ing", "tion"], ["er", "ing", "tion"], ["tion", "ing", "ly", "tion"]
+KEYS, PHRASE2, PHRASE3, RANKED = ["tion", "ing", "ly"], ["ing", "tion"], ["thanedble", "anea", "eriner"], ["tion", "ing", "ly", "tion"]
 ROUNDS = 10
+ENGINE_KEYS = ["tion", "anea", "er"]
+#: A small dictionary: words and frequencies.
+JAPANESE = {"私": 9, "は": 20, "本": 6, "を": 18, "読む": 4, "本屋": 2, "屋": 1, "猫": 5, "が": 15, "好き": 7, "です": 12, "で": 3, "す": 1}
 
 
 def _t(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
@@ -180,11 +187,16 @@ def search_phrase_repeat(s, d):
 
 
 def search_keyword_deleted(s, d):
-    return search.keyword(index.without_terms(_lists(s, d), _tombstones(s)), "ing", PLAIN)
+    """Each keyword by itself, one of them deleted."""
+    rows = index.without_terms(_lists(s, d), _tombstones(s))
+    return reduce(DataFrame.unionByName, (search.keyword(rows, k, PLAIN).withColumn("keyword", F.lit(k)) for k in KEYS))
 
 
 def search_and_deleted(s, d):
-    return search.search_and(index.without_terms(_lists(s, d), _tombstones(s)), KEYS, PLAIN)
+    """Each pair of keywords; those with the deleted one find nothing."""
+    rows = index.without_terms(_lists(s, d), _tombstones(s))
+    found = (search.search_and(rows, list(pair), PLAIN).withColumn("pair", F.lit(" ".join(pair))) for pair in combinations(KEYS, 2))
+    return reduce(DataFrame.unionByName, found)
 
 
 def search_or_deleted(s, d):
@@ -283,6 +295,10 @@ STEMS = {"caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "ca
 DELTAS = {"3,3,7,23,23,65,294,2190,238923": "03000410002A81658E688EB93D", "2147483647": "87FFFFFF7F", "16384": "818000", "128,384,896,1920,3968": "81008200840088009000", "": ""}
 
 
+#: A sentence with every kind of delimiter, stop words, and a colon, which is none.
+COMPOSED = "\n Do Ponies: hop;\tMotoring cats? part 7, r2d2^sized! by yourself.\f"
+
+
 def porter_golden(s, d):
     from loamdex.functions.analysis import stemmed
 
@@ -290,7 +306,7 @@ def porter_golden(s, d):
 
 
 def analyze_composed_golden(s, d):
-    docs = s.createDataFrame([(1, " Do UCI CS221:\tInformation Retrieval, project 1 by yourself.\n"), (2, "The ponies and the cats were hopping")], "doc_id long, text string")
+    docs = s.createDataFrame([(1, COMPOSED), (2, "The ponies and the cats were hopping")], "doc_id long, text string")
     found = Analyzer(stem=stem).occurrences(docs)
     return found.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), "|").alias("tokens"))
 
@@ -325,18 +341,175 @@ def codec_roundtrip(s, d):
 
 
 def codec_size_ratio(s, d):
-    rows = _postings(s, d).withColumn("p", F.col("positions").cast("array<bigint>"))
-    return rows.agg(F.sum(F.length(codec.naive_encode(F.col("p"))).cast("long")).alias("naive"), F.sum(F.length(codec.delta_encode(F.col("p"))).cast("long")).alias("delta"))
+    p = F.col("positions").cast("array<bigint>")
+    return _postings(s, d).agg(F.sum(codec.naive_size(p)).alias("naive"), F.sum(codec.delta_size(p)).alias("delta"))
 
 
 def ingest_stream_segments(s, d):
     """A stream of the documents table, flushed a segment a batch; term frequencies over all segments."""
-    import uuid
-
-    path = f"{shared_folder(s)}/loamdex/{s.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    path = new_path(s, "stream")
     stream = s.readStream.schema(_t(s, d).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet" if _is_folder(s, f"{d}/documents.parquet") else f"{d}/document[s].parquet")
-    write_segments(stream, path, path + "/state").awaitTermination()
-    return read_segments(s, path, "postings").select("doc_id", "term", "tf")
+    held = index.Index(s, f"{path}/index")
+    write_segments(stream, held, f"{path}/state").awaitTermination()
+    return held.postings().select("doc_id", "term", "tf")
+
+
+def _store(s, d):
+    """A store with all documents, of which every tenth was overwritten; opened again."""
+    path = new_path(s, "store")
+    store = DocumentStore.create_or_open(s, path)
+    store.bulk_load(_docs(s, d))
+    store.add(_docs(s, d).where("doc_id % 10 = 0").select("doc_id", F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("text")))
+    return DocumentStore.create_or_open(s, path)
+
+
+def store_scan(s, d):
+    return _store(s, d).scan()
+
+
+def store_keys(s, d):
+    return _store(s, d).keys()
+
+
+def store_get(s, d):
+    """Point look-ups of a document, of an overwritten one, and of one that is not there."""
+    store = _store(s, d)
+    return s.createDataFrame([(i, store.get(i)) for i in (17, 20, -1)], "doc_id long, text string")
+
+
+def store_size(s, d):
+    return s.createDataFrame([(_store(s, d).size(),)], "n long")
+
+
+def _index(s, d, name="plain", **options):
+    """An index folder with all documents, written once a session and opened again."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _built:
+        _built[key] = new_path(s, "index")
+        index.Index(s, _built[key], PLAIN, merge_at=1 << 30, **options).add(_docs(s, d), SEGMENT)
+    return index.Index(s, _built[key], PLAIN, merge_at=1 << 30, **options)
+
+
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def index_documents(s, d):
+    return _index(s, d).documents().select("segment_id", "local_id", "doc_id", "text")
+
+
+def index_segments(s, d):
+    return _index(s, d).segments()
+
+
+def index_lookup(s, d):
+    return _index(s, d).lookup("tion").select("segment_id", "local_id", "doc_id", "tf", _joined("positions"))
+
+
+def index_load(s, d):
+    """The nested load of every segment, laid out again."""
+    held = _index(s, d)
+    loaded = reduce(DataFrame.unionByName, (held.load(i) for i in range(held.num_segments)))
+    # The documents are counted before the lists are laid out, else each list would carry them.
+    rows = loaded.select("segment_id", F.size("documents").alias("docs"), "postings").select("segment_id", "docs", F.explode("postings").alias("p")).select("segment_id", "docs", "p.*")
+    ids = F.array_join(F.transform("list", lambda x: x["local_id"].cast("string")), ",")
+    return rows.select("segment_id", F.col("docs").cast("long"), "term", ids.alias("ids"))
+
+
+def index_keyword(s, d):
+    return search.keyword(_index(s, d).postings(), "tion", PLAIN)
+
+
+def index_and(s, d):
+    return search.search_and(_index(s, d).postings(), KEYS, PLAIN)
+
+
+def index_or(s, d):
+    return search.search_or(_index(s, d).postings(), KEYS, PLAIN)
+
+
+def index_phrase(s, d):
+    return search.phrase(_index(s, d).postings(), PHRASE3, PLAIN)
+
+
+def index_tfidf(s, d):
+    held = _index(s, d)
+    n = s.createDataFrame([(held.num_documents(),)], "n long")
+    return _six(ranking.tf_idf(held.postings(hidden=False), n, RANKED))
+
+
+def index_twice(s, d):
+    """All documents flushed twice: ids repeat, and segments tell them apart."""
+    held = index.Index(s, new_path(s, "index"), PLAIN, merge_at=1 << 30)
+    held.add(_docs(s, d), SEGMENT)
+    held.add(_docs(s, d), SEGMENT)
+    return search.phrase(held.postings(), PHRASE3, PLAIN)
+
+
+def _deleting(s, d):
+    held = index.Index(s, new_path(s, "index"), PLAIN, merge_at=1 << 30)
+    held.add(_docs(s, d), SEGMENT)
+    held.delete_term("ING")
+    return held
+
+
+def index_deleted(s, d):
+    return search.search_or(_deleting(s, d).postings(), KEYS, PLAIN)
+
+
+def index_merged(s, d):
+    held = _deleting(s, d)
+    held.merge()
+    return held.postings().groupBy("segment_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("local_id").alias("ids"))
+
+
+def index_delta_postings(s, d):
+    """Positions that an index keeps as bytes of the delta codec."""
+    return _index(s, d, "delta", compressor=codec.DELTA).postings().select("term", "doc_id", "tf", _joined("positions"))
+
+
+def index_codec_bytes(s, d):
+    """Bytes of stored positions under both codecs."""
+    naive, delta = (_index(s, d, c.name, compressor=c).stored_bytes().first()[0] for c in (codec.NAIVE, codec.DELTA))
+    return s.createDataFrame([(naive, delta)], "naive long, delta long")
+
+
+def _crawl(s, d):
+    """A crawl folder made of the benchmark: a page an item, and a graph over the item ids."""
+    folder = new_path(s, "crawl")
+    ids = []
+    for r in _t(s, d, "benchmark").select("item_id", "text").toLocalIterator():  # a small table
+        _put(s, f"{folder}/cleaned/{r.item_id}.txt", f"{r.item_id}\nurl{r.item_id}\n{r.text}\n")
+        ids.append(r.item_id)
+    _put(s, f"{folder}/url.tsv", "".join(f"{i}\turl{i}\n" for i in ids))
+    _put(s, f"{folder}/id-graph.tsv", "".join(f"{i} {i // 2}\n{i} {i * 3 % 11}\n" for i in ids))
+    return folder
+
+
+def _put(s, path, text):
+    place = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def crawl_documents(s, d):
+    return read_folder(s, _crawl(s, d)).select("text")
+
+
+def engine_search(s, d):
+    """The engine over a crawl: index, page rank, and both combined, all hits."""
+    engine = SearchEngine(_crawl(s, d), index.Index(s, new_path(s, "index")))
+    engine.write_index(10)
+    engine.compute_page_rank(ROUNDS)
+    return engine.search(ENGINE_KEYS, 1 << 30, 2.5).select(F.round("score", 6).alias("score"), "text")
+
+
+def japanese_golden(s, d):
+    """Segmentation by a Japanese dictionary."""
+    lines = s.createDataFrame([(i, f"{w} {n}") for i, (w, n) in enumerate(JAPANESE.items())], "line_no int, value string")
+    breaker = japanese_breaker(read_dictionary(lines), on_error="null")
+    texts = s.createDataFrame([(1, "私は本を読む"), (2, "猫が好きです"), (3, "本屋"), (4, "犬")], "id int, text string")
+    return texts.select("id", F.array_join(breaker.column(F.col("text")), "|").alias("tokens"))
 
 
 def _is_folder(s, path):
@@ -351,7 +524,8 @@ QUERIES = {
         segments, segment_num_docs, num_segments, segment_df, segment_docs_scan, segment_postings, segment_merge, merge_with_delete, search_fullscan, search_keyword, search_and, search_or, search_phrase2,
         search_phrase3, search_phrase_repeat, search_keyword_deleted, search_and_deleted, search_or_deleted, tfidf_all, tfidf_topk, tfidf_dup_query_terms, tfidf_multi_segment, pagerank_k, pagerank_dangling,
         out_degree, combined_rank, url_nodes, graph_edges, dictionary_probability, dictionary_rewrite, list_operations, porter_golden, analyze_composed_golden, stemmed_df, wordbreak_golden, codec_varbyte_golden, codec_naive_golden, codec_roundtrip,
-        codec_size_ratio, ingest_stream_segments,
+        codec_size_ratio, ingest_stream_segments, store_scan, store_keys, store_get, store_size, index_documents, index_segments, index_lookup, index_load, index_keyword, index_and, index_or,
+        index_phrase, index_tfidf, index_twice, index_deleted, index_merged, index_delta_postings, index_codec_bytes, crawl_documents, engine_search, japanese_golden,
     )
 }
 
@@ -380,9 +554,13 @@ _EDGES = "edges AS (SELECT c_nationkey AS src, s_nationkey AS dst FROM lineitem
 
 
 def _ranks(nodes: str = "TRUE", edges: str = "TRUE") -> str:
+    return _ranks_of(_EDGES, f"SELECT n_nationkey AS id FROM nation WHERE {nodes}", edges)
+
+
+def _ranks_of(table: str, nodes: str, edges: str = "TRUE") -> str:
     """The rounds, unrolled."""
-    out = f"""{_EDGES}, e AS MATERIALIZED (SELECT src, dst, count(*) / (sum(count(*)) OVER (PARTITION BY src)) AS p FROM edges WHERE {edges} GROUP BY src, dst),
-v AS MATERIALIZED (SELECT n_nationkey AS id FROM nation WHERE {nodes}), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"""
+    out = f"""{table}, e AS MATERIALIZED (SELECT src, dst, count(*) / (sum(count(*)) OVER (PARTITION BY src)) AS p FROM edges WHERE {edges} GROUP BY src, dst),
+v AS MATERIALIZED ({nodes}), r0 AS (SELECT id, 1.0::DOUBLE AS rank FROM v)"""
     for i in range(ROUNDS):
         out += f", r{i + 1} AS MATERIALIZED (SELECT v.id, 0.15 + 0.85 * coalesce(sum(p * rank), 0) AS rank FROM v LEFT JOIN (SELECT e.dst, e.p, r{i}.rank FROM e JOIN r{i} ON e.src = r{i}.id) x ON x.dst = v.id GROUP BY v.id)"
     return out
@@ -392,6 +570,8 @@ def _values(rows) -> str:
     return ", ".join(f"('{a}', '{b}')" for a, b in rows)
 
 
+#: The crawl's pages as its files hold them, without the last newline.
+_PAGES = r"documents AS (SELECT item_id AS doc_id, item_id || chr(10) || 'url' || item_id || chr(10) || replace(text, chr(13) || chr(10), chr(10)) AS text FROM benchmark)"
 _IN = ", ".join(f"'{t}'" for t in KEYS)
 ORACLES = {
     "doc_scan": "SELECT doc_id, text FROM documents",
@@ -424,8 +604,8 @@ ORACLES = {
     "search_phrase2": _phrase(PHRASE2),
     "search_phrase3": _phrase(PHRASE3),
     "search_phrase_repeat": _phrase(["ing", "ing"]),
-    "search_keyword_deleted": "SELECT doc_id FROM documents WHERE FALSE",
-    "search_and_deleted": "SELECT doc_id FROM documents WHERE FALSE",
+    "search_keyword_deleted": f"WITH {_OCC} SELECT DISTINCT doc_id, term AS keyword FROM occ WHERE term IN ({_IN}) AND term <> 'ing'",
+    "search_and_deleted": f"WITH {_OCC} SELECT doc_id, 'tion ly' AS pair FROM occ WHERE term IN ('tion', 'ly') GROUP BY doc_id HAVING count(DISTINCT term) = 2",
     "search_or_deleted": f"WITH {_OCC} SELECT DISTINCT doc_id FROM occ WHERE term IN ({_IN}) AND term <> 'ing'",
     "tfidf_all": "WITH " + _tfidf(KEYS, _TOP),
     "tfidf_topk": "WITH " + _tfidf(RANKED, _TOP + " ORDER BY ranked.score DESC, doc_id LIMIT 10"),
@@ -441,11 +621,34 @@ ORACLES = {
     "dictionary_rewrite": f"WITH {_OCC} SELECT term || ' ' || count(DISTINCT doc_id) AS value FROM occ GROUP BY term",
     "list_operations": f"WITH {_TOKS} SELECT doc_id, array_to_string([t FOR t IN a IF t IN ({_IN})], ',') AS common, len(list_distinct(list_concat(a, [{_IN}]))) AS terms FROM toks",
     "porter_golden": f"SELECT term, stem FROM (VALUES {_values(STEMS.items())}) v(term, stem)",
-    "analyze_composed_golden": "SELECT CAST(doc_id AS BIGINT) AS doc_id, tokens FROM (VALUES (1, 'uci|cs221:|inform|retriev|project|1'), (2, 'poni|cat|hop')) v(doc_id, tokens)",
+    "analyze_composed_golden": "SELECT CAST(doc_id AS BIGINT) AS doc_id, tokens FROM (VALUES (1, 'ponies:|hop|motor|cat|part|7|r2d2|size'), (2, 'poni|cat|hop')) v(doc_id, tokens)",
     "wordbreak_golden": "SELECT CAST(id AS INTEGER) AS id, tokens FROM (VALUES (1, 'like|icecream'), (2, 'like|ice'), (3, NULL)) v(id, tokens)",
     "codec_varbyte_golden": f"SELECT ints, bytes FROM (VALUES {_values(DELTAS.items())}) v(ints, bytes)",
     "codec_naive_golden": "SELECT '1,256,-1' AS ints, '0000000100000100FFFFFFFF' AS bytes",
     "codec_roundtrip": f"WITH {_POST} SELECT term, doc_id, positions FROM post",
     "codec_size_ratio": f"WITH {_OCC}, g AS (SELECT pos - coalesce(lag(pos) OVER (PARTITION BY doc_id, term ORDER BY pos), 0) AS gap FROM occ) SELECT CAST(4 * count(*) AS BIGINT) AS naive, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 ELSE 3 END) AS BIGINT) AS delta FROM g",
     "ingest_stream_segments": f"WITH {_OCC} SELECT doc_id, term, count(*) AS tf FROM occ GROUP BY doc_id, term",
-}
+    "store_scan": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new ' || doc_id ELSE text END AS text FROM documents",
+    "store_keys": "SELECT doc_id FROM documents",
+    "store_get": "SELECT k AS doc_id, CASE WHEN k = 20 THEN 'new 20' ELSE text END AS text FROM (VALUES (17::BIGINT), (20), (-1)) v(k) LEFT JOIN documents ON doc_id = k",
+    "store_size": "SELECT count(*) AS n FROM documents",
+    "index_documents": f"WITH {_SEG} SELECT segment_id, local_id, doc_id, text FROM seg",
+    "index_segments": f"WITH {_SEG} SELECT segment_id, count(*) AS docs FROM seg GROUP BY segment_id",
+    "index_lookup": f"WITH {_SEG}, {_POST} SELECT segment_id, local_id, doc_id, tf, positions FROM post JOIN seg USING (doc_id) WHERE term = 'tion'",
+    "index_load": f"WITH {_SEG}, {_OCC}, n AS (SELECT segment_id, count(*) AS docs FROM seg GROUP BY segment_id), u AS (SELECT DISTINCT doc_id, term FROM occ) SELECT segment_id, docs, term, string_agg(CAST(local_id AS VARCHAR), ',' ORDER BY local_id) AS ids FROM u JOIN seg USING (doc_id) JOIN n USING (segment_id) GROUP BY segment_id, docs, term",
+    "index_keyword": f"WITH {_SEG}, {_OCC} SELECT DISTINCT segment_id, local_id, doc_id FROM occ JOIN seg USING (doc_id) WHERE term = 'tion'",
+    "index_and": f"WITH {_SEG}, {_OCC} SELECT segment_id, local_id, doc_id FROM occ JOIN seg USING (doc_id) WHERE term IN ({_IN}) GROUP BY ALL HAVING count(DISTINCT term) = 3",
+    "index_or": f"WITH {_SEG}, {_OCC} SELECT DISTINCT segment_id, local_id, doc_id FROM occ JOIN seg USING (doc_id) WHERE term IN ({_IN})",
+    "index_phrase": f"WITH {_SEG}, hits AS ({_phrase(PHRASE3)}) SELECT segment_id, local_id, doc_id FROM hits JOIN seg USING (doc_id)",
+    "index_tfidf": "WITH " + _tfidf(RANKED, _TOP),
+    "index_twice": f"WITH {_SEG}, hits AS ({_phrase(PHRASE3)}), n AS (SELECT max(segment_id) + 1 AS n FROM seg) SELECT CAST(segment_id + k * n AS INTEGER) AS segment_id, local_id, doc_id FROM hits JOIN seg USING (doc_id), n, (VALUES (0), (1)) v(k)",
+    "index_deleted": f"WITH {_SEG}, {_OCC} SELECT DISTINCT segment_id, local_id, doc_id FROM occ JOIN seg USING (doc_id) WHERE term IN ({_IN}) AND term <> 'ing'",
+    "index_delta_postings": f"WITH {_POST} SELECT term, doc_id, tf, positions FROM post",
+    "crawl_documents": f"WITH {_PAGES} SELECT text FROM documents",
+    "engine_search": f"WITH {_PAGES}, "
+    + _ranks_of("edges AS (SELECT doc_id AS src, doc_id // 2 AS dst FROM documents UNION ALL SELECT doc_id, doc_id * 3 % 11 FROM documents)", "SELECT doc_id AS id FROM documents")
+    + ", " + _tfidf(ENGINE_KEYS, f"SELECT round(score + 2.5 * rank, 6) AS score, text FROM ranked JOIN documents USING (doc_id) JOIN r{ROUNDS} ON id = doc_id"),
+    "japanese_golden": "SELECT CAST(id AS INTEGER) AS id, tokens FROM (VALUES (1, '私|は|本|を|読む'), (2, '猫|が|好き|です'), (3, '本屋'), (4, NULL)) v(id, tokens)",
+}
+ORACLES["index_merged"] = ORACLES["merge_with_delete"]
+ORACLES["index_codec_bytes"] = ORACLES["codec_size_ratio"]

@@ -25,10 +25,10 @@ class SearchEngine:
     index: Index
     ranks: DataFrame | None = None
 
-    def write_index(self, threshold: int = 1000) -> None:
+    def write_index(self, threshold: int | None = 1000) -> None:
         """Index the pages of <folder>/cleaned; ids run from 0 in an order that the paths alone decide."""
         files = stored(read_folder(self.index.spark, self.folder).withColumn("key", F.xxhash64("path")), "pages")
-        ordered = number_rows(files, "key", "rn", 1 << 50)
+        ordered = number_rows(files, "key")
         self.index.add(ordered.select((F.col("rn") - 1).alias("doc_id"), "text"), threshold)
 
     def compute_page_rank(self, iterations: int) -> None:
@@ -46,4 +46,4 @@ class SearchEngine:
         """(doc_id, score, text) by TF-IDF plus weight times page rank; texts are fetched for the best only."""
         docs = self.index.documents()
         best = combined_rank(self.tf_idf(query), page_id(docs), self.ranks, weight, top_k)
-        return best.join(docs.select("doc_id", "text"), "doc_id").orderBy(F.desc("score"), "doc_id")
+        return best.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "score", "text").orderBy(F.desc("score"), "doc_id")

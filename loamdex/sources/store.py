@@ -53,16 +53,35 @@ class DocumentStore:
         return self.versions().select("doc_id").distinct().count()
 
 
-def number_rows(df: DataFrame, key: str, name: str = "rn", width: int = 1 << 16) -> DataFrame:
-    """df with the row's number in the order of an integer key, from 1.
+#: Rows that are numbered in one task (about), and ranges at most (a square).
+SPAN_ROWS, MOST_SPANS = 1 << 17, 1 << 14
 
-    Rows are numbered inside ranges of `width` keys, and ranges add the counts of
-    all before; only these counts, one a range, meet in one task.
+
+def number_rows(df: DataFrame, key: str, name: str = "rn") -> DataFrame:
+    """df with the row's number in the order of an integer key, from 1; rows without a key come last.
+
+    Rows are numbered inside ranges of the key that hold about as many rows each,
+    by sampled bounds, however the keys lie; ranges add the counts of all before,
+    and only these counts, a bounded number, meet in one task.
     """
-    spans = df.withColumn("span", F.floor(F.col(key) / width))
-    before = spans.groupBy("span").count().select("span", (F.sum("count").over(Window.orderBy("span")) - F.col("count")).alias("before"))
+    count = df.select(key).count()
+    spans = min(MOST_SPANS, -(-count // SPAN_ROWS))
+    if spans <= 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(F.col(key).asc_nulls_last())).cast("long"))
+    wanted = [i / spans for i in range(1, spans)]
+    bounds = sorted({int(b) for b in df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", wanted, 1 / (4 * spans))})
+    # Two steps of about the square root each, instead of one along all bounds.
+    step = max(1, int(len(bounds) ** 0.5))
+    parts = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    below = lambda values: F.size(F.filter(values, lambda b: b < F.col(key)))
+    longs = lambda xs: F.array(*(F.lit(x).cast("bigint") for x in xs))
+    part = F.greatest(below(longs(p[0] for p in parts)) - 1, F.lit(0))
+    span = F.when(F.col(key).isNull(), F.lit(len(bounds) + 1)).otherwise(part * step + below(F.get(F.array(*map(longs, parts)), part)))
+    ranged = df.withColumn("span", span)
+    before = ranged.groupBy("span").count().select("span", (F.sum("count").over(Window.orderBy("span")) - F.col("count")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("span").orderBy(key))
-    return spans.withColumn("inner", inner).join(before, "span").withColumn(name, (F.col("inner") + F.col("before")).cast("long")).drop("span", "inner", "before")
+    numbered = ranged.withColumn("inner", inner).join(before, "span").withColumn(name, (F.col("inner") + F.col("before")).cast("long"))
+    return numbered.drop("span", "inner", "before")
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:

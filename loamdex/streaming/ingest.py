@@ -1,29 +1,24 @@
-"""Incremental ingestion: a stream of documents becomes a segment a micro-batch."""
+"""Incremental ingestion: a stream of documents becomes segments of an index, a flush a micro-batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from loamdex.functions.analysis import Analyzer
-from loamdex.operators.index import build_postings
+from loamdex.operators.index import Index
 
 
-def write_segments(stream: DataFrame, path: str, checkpoint: str, analyzer: Analyzer | None = None):
-    """Start a query that writes each batch's documents and postings as segment_id = batch number.
+def write_segments(stream: DataFrame, index: Index, checkpoint: str, name: str = "stream", threshold: int | None = None):
+    """Start a query that adds each batch's documents to the index, in segments of `threshold` documents (None: by their size).
 
-    A batch that is tried again overwrites its own partition, so results are the
-    same as of one try.
+    The manifest keeps the number of the last batch, so one that is tried again,
+    or a restart from the checkpoint, adds nothing twice.
     """
-    analyzer = analyzer or Analyzer()
 
     def flush(batch: DataFrame, number: int) -> None:
-        docs = batch.select(F.col("doc_id").cast("long"), "text")
-        for name, rows in (("docs", docs), ("postings", build_postings(docs, analyzer))):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/segment_id={number}")
+        batch.persist()
+        try:
+            index.add(batch, threshold, stream=(name, number))
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_segments(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
