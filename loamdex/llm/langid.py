@@ -8,6 +8,7 @@ Texts are lower-cased; letters stay, each run of anything else is one blank.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, keyed, remainder, small_batches
+from loamdex.llm.common import fresh, keyed, remainder, small_batches, stored
 from loamdex.llm.textops import BLOCK_BYTES, blocks, mix
 
 UNKNOWN = "und"
@@ -28,8 +29,8 @@ _SMOOTHING = 0.5
 #: Whether a text is like its language's: labelled documents of each language that show what is usual (about; at least, or the language takes any text), and deviations below their mean that are too many.
 USUAL_DOCS, LEAST_DOCS = 1000, 30
 DEVIATIONS = 16.0
-#: The matrix (BUCKETS x languages, 8 bytes each) is broadcast: more languages than this are refused.
-MAX_LANGUAGES = 500
+#: Languages of one matrix (BUCKETS x languages, 8 bytes each), which is broadcast; texts are scored against more languages matrix by matrix.
+MATRIX_LANGUAGES = 500
 
 
 @lru_cache(maxsize=1)
@@ -113,21 +114,16 @@ def _labelled(docs: DataFrame, usable: Column | None) -> DataFrame:
     return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if usable is None else usable))
 
 
-def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """A model of docs (doc_id, text, lang) where usable holds and lang is not null.
+def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, sample_per_lang: int = SAMPLE_PER_LANG) -> Iterator[LanguageModel]:
+    """Models of docs (doc_id, text, lang) where usable holds and lang is not null: of all languages in order, MATRIX_LANGUAGES at most in each.
 
     Priors come from all labelled rows; n-gram counts from about
     sample_per_lang whole texts of each language, chosen by a hash of the id.
-    More than MAX_LANGUAGES languages raise ValueError.
+    A model comes to the driver when it is asked for, as one array a language.
     """
     labelled = _labelled(docs, usable)
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(counts)
-    if not languages:
-        return LanguageModel([], np.zeros(0), np.zeros((buckets, 0)), orders)
-    sample = _sample(labelled, counts, sample_per_lang)
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages, total = sorted(counts), sum(counts.values())
 
     def count(batches):
         held: dict[str, np.ndarray] = {}
@@ -144,14 +140,23 @@ def train(docs: DataFrame, usable: Column | None = None, orders: tuple[int, ...]
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(some), pa.string()), "bucket": pa.array(some, pa.int32()), "n": pa.array(found[some], pa.int64())})
 
-    grams = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    held = np.zeros((buckets, len(languages)))
-    place = {k: i for i, k in enumerate(languages)}
-    for r in grams.collect():
-        held[r.bucket, place[r.lang]] = r.n
-    held += _SMOOTHING
-    priors = np.log(np.array([counts[k] for k in languages], float) / sum(counts.values()))
-    return LanguageModel(languages, priors, np.log(held / held.sum(axis=0)), orders, held.sum(axis=0))
+    def laid_out(part: pa.Table) -> pa.Table:
+        found = np.zeros(buckets, np.int64)
+        found[part["bucket"].to_numpy()] = part["n"].to_numpy()
+        return pa.table({"lang": part["lang"][:1], "counts": pa.array([found.tobytes()], pa.binary())})
+
+    for at in range(0, len(languages), MATRIX_LANGUAGES):
+        own = {k: counts[k] for k in languages[at : at + MATRIX_LANGUAGES]}
+        sample = _sample(labelled, own, sample_per_lang)
+        grams = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        # A language has a row a bucket at most, so its array is made in one task.
+        rows = grams.groupBy("lang").applyInArrow(laid_out, "lang string, counts binary").collect()
+        held = np.full((buckets, len(own)), _SMOOTHING)
+        place = {k: i for i, k in enumerate(own)}
+        for r in rows:
+            held[:, place[r.lang]] += np.frombuffer(r.counts, np.int64)
+        priors = np.log(np.array(list(own.values()), float) / total)
+        yield LanguageModel(list(own), priors, np.log(held / held.sum(axis=0)), orders, held.sum(axis=0))
 
 
 @dataclass
@@ -168,12 +173,12 @@ class Usual:
 
 
 def usual(docs: DataFrame, model: LanguageModel, usable: Column | None = None, sample_per_lang: int = SAMPLE_PER_LANG) -> Usual:
-    """What the model gives labelled documents of each language that it has learned from, each without its own counts.
+    """What the model gives labelled documents of each of its languages that it has learned from, each without its own counts.
 
     docs, usable and sample_per_lang are those of train().  A language of fewer
     than LEAST_DOCS such documents takes any text (its mean is minus infinity).
     """
-    labelled = _labelled(docs, usable)
+    labelled = _labelled(docs, usable).where(F.col("lang").isin(model.languages))
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -205,50 +210,77 @@ def usual(docs: DataFrame, model: LanguageModel, usable: Column | None = None, s
     return out
 
 
-def predict(docs: DataFrame, model: LanguageModel, lang_name: str = "lang_pred", score_name: str = "score", like: Usual | None = None, deviations: float = DEVIATIONS) -> DataFrame:
-    """docs with the predicted language and its posterior probability.
+#: What a text's languages have shown so far: the best, its sum with the prior, the logarithm of all sums' total, and whether the text is like the best one's.
+_SO_FAR = (("best", "string"), ("top", "double"), ("all", "double"), ("like", "boolean"))
+
+
+def predict(docs: DataFrame, models: Iterable[tuple[LanguageModel, Usual | None]], lang_name: str = "lang_pred", score_name: str = "score", deviations: float = DEVIATIONS) -> DataFrame:
+    """docs with the predicted language and its posterior probability among the languages of all models.
 
     Null texts, and texts without a letter, get `und` and score 0; so does
-    every text if the model has learned no language.  Long texts are scored
-    whole, part by part.  With `like`, texts whose mean log-probability of an
-    n-gram is more than `deviations` below what is usual in the predicted
-    language get `und` and score 0, too.  Ties go to the language that sorts first.  Columns of
-    the two names are replaced, all others pass through; an empty table gives
-    no rows.
+    every text if no language was learned.  Long texts are scored whole, part by
+    part.  Where a model comes with what is usual, texts whose mean
+    log-probability of an n-gram is more than `deviations` below that of the
+    predicted language get `und` and score 0, too.  Ties go to the language that
+    sorts first.  Columns of the two names are replaced, all others pass
+    through; an empty table gives no rows.  With several models the table is
+    written after each, so that one matrix is held at a time.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     names = [c for c in docs.columns if c.lower() not in (lang_name.lower(), score_name.lower())]
     at = [c.lower() for c in names].index("text")
-
-    def score(batches):
-        model = shared.value
-        for rows in batches:
-            guesses, scores = [], []
-            for block in blocks(rows.column(at)):
-                if not model.languages:
-                    guesses += [UNKNOWN] * block.rows
-                    scores += [0.0] * block.rows
-                    continue
-                if block.rows == 1 and len(block.data) > BLOCK_BYTES:
-                    sums, letters, grams = np.zeros((1, len(model.languages))), np.zeros(1, np.int64), np.zeros(1, np.int64)
-                    for part in _pieces(block.data, BLOCK_BYTES):
-                        more, some, count = model.sums(part, np.array([0, len(part)]))
-                        sums, letters, grams = sums + more, letters + some, grams + count
-                else:
-                    sums, letters, grams = model.sums(block.data, block.offsets)
-                plain, sums = sums, sums + model.priors
-                best = sums.argmax(axis=1)
-                share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-                known = letters > 0
-                if like is not None:
-                    known &= plain[np.arange(len(best)), best] >= grams * like.least(best, grams, deviations, len(model.orders))
-                guesses += [model.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-                scores += np.where(known, share, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(guesses, pa.string()), pa.array(scores, pa.float64())], names=[*names, lang_name, score_name])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(score, f"{schema}, `{lang_name}` string, `{score_name}` double")
+    out, last = docs.select(*(F.col(f"`{c}`") for c in names)), []
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
+    for c, kind in _SO_FAR:
+        last.append(fresh([*names, *last], c))
+        kinds += f", `{last[-1]}` {kind}"
+        out = out.withColumn(last[-1], F.lit(None).cast(kind))
+
+    def against(model: LanguageModel, like: Usual | None):
+        shared = spark.sparkContext.broadcast((model, like))
+
+        def score(batches):
+            model, like = shared.value
+            for rows in batches:
+                best, top, total, fits = ([] for _ in _SO_FAR)
+                for block in blocks(rows.column(at)):
+                    if block.rows == 1 and len(block.data) > BLOCK_BYTES:
+                        sums, letters, grams = np.zeros((1, len(model.languages))), np.zeros(1, np.int64), np.zeros(1, np.int64)
+                        for part in _pieces(block.data, BLOCK_BYTES):
+                            more, some, count = model.sums(part, np.array([0, len(part)]))
+                            sums, letters, grams = sums + more, letters + some, grams + count
+                    else:
+                        sums, letters, grams = model.sums(block.data, block.offsets)
+                    plain, sums = sums, sums + model.priors
+                    first = sums.argmax(axis=1)
+                    most = sums.max(axis=1)
+                    good = np.ones(len(first), bool)
+                    if like is not None:
+                        good = plain[np.arange(len(first)), first] >= grams * like.least(first, grams, deviations, len(model.orders))
+                    best += [model.languages[b] if k else None for b, k in zip(first.tolist(), (letters > 0).tolist(), strict=True)]
+                    top += most.tolist()
+                    total += (most + np.log(np.exp(sums - most[:, None]).sum(axis=1))).tolist()
+                    fits += good.tolist()
+                old_best, old_top, old_all, old_fits = (rows.column(len(names) + i) for i in range(4))
+                if len(best) and old_best.null_count < len(best):
+                    was = np.array(old_top.fill_null(-np.inf).to_pylist())
+                    keep = was >= np.array(top)  # the earlier language sorts first
+                    best = [o if k else b for o, b, k in zip(old_best.to_pylist(), best, keep.tolist(), strict=True)]
+                    fits = [o if k else f for o, f, k in zip(old_fits.to_pylist(), fits, keep.tolist(), strict=True)]
+                    total = np.logaddexp(old_all.fill_null(-np.inf).to_numpy(zero_copy_only=False), total).tolist()
+                    top = np.maximum(was, top).tolist()
+                columns = [pa.array(best, pa.string()), pa.array(top, pa.float64()), pa.array(total, pa.float64()), pa.array(fits, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *columns], names=[*names, *last])
+
+        return score
+
+    for i, (model, like) in enumerate(models):
+        out = (stored(out, "scored") if i else out).mapInArrow(against(model, like), kinds)
+    best, top, total, fits = (F.col(f"`{c}`") for c in last)
+    known = best.isNotNull() & F.coalesce(fits, F.lit(False))
+    guess = F.when(known, best).otherwise(UNKNOWN).alias(lang_name)
+    return out.select(*(F.col(f"`{c}`") for c in names), guess, F.when(known, F.least(F.exp(top - total), F.lit(1.0))).otherwise(0.0).alias(score_name))
 
 
 def language_id(docs: DataFrame, held_out: tuple[int, int] = (3, 1)) -> DataFrame:
@@ -258,21 +290,21 @@ def language_id(docs: DataFrame, held_out: tuple[int, int] = (3, 1)) -> DataFram
     """
     rows = keyed(docs, "lang")
     out = remainder(F.col("doc_id"), held_out[0]) == held_out[1]
-    model = train(rows, ~out)
-    return predict(rows.select("doc_id", out.alias("held_out"), "text"), model).drop("text")
+    models = ((model, None) for model in train(rows, ~out))
+    return predict(rows.select("doc_id", out.alias("held_out"), "text"), models).drop("text")
 
 
-def known_language(docs: DataFrame, least: float = 0.2, held_out: tuple[int, int] = (3, 1), deviations: float = DEVIATIONS) -> DataFrame:
-    """docs without those whose language is `und`, whose score is under `least`, or which are unlike the labelled documents of their language; same columns.
+def known_language(docs: DataFrame, held_out: tuple[int, int] = (3, 1), deviations: float = DEVIATIONS) -> DataFrame:
+    """docs without those whose language is `und`, or which are unlike the labelled documents of their language; same columns.
 
-    A score is 1 / languages at least; what no learned language is likely for,
-    such as gibberish, goes by the mean log-probability of its n-grams, which is
-    more than `deviations` below what labelled documents show.
+    What no learned language is likely for, such as gibberish, goes by the mean
+    log-probability of its n-grams, which is more than `deviations` below what
+    labelled documents show.  If no language was learned, all documents stay.
     """
     lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
     rows, learned = keyed(docs, "lang"), remainder(F.col("doc_id"), held_out[0]) != held_out[1]
-    model = train(rows, learned)
-    if not model.languages:
+    if _labelled(rows, learned).limit(1).count() == 0:
         return docs
-    found = predict(docs, model, lang, score, usual(rows, model, learned), deviations)
-    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    models = ((model, usual(rows, model, learned)) for model in train(rows, learned))
+    found = predict(docs, models, lang, score, deviations)
+    return found.where(F.col(lang) != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))

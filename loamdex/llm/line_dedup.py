@@ -158,7 +158,9 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     kinds = {"doc_id": "bigint", "text": "string"}
     columns = [F.col(f"`{c}`").cast(kinds[c.lower()]).alias(c) if c.lower() in kinds else F.col(f"`{c}`") for c in names]
     block = fresh(docs.columns, "line_block")
-    dealt = docs.select(*columns, F.pmod(F.xxhash64(F.col(f"`{names[at_id]}`").cast("bigint")), F.lit(count)).cast("int").alias(block)).repartition(count, block)
+    # Rows without an id are dealt evenly, not as one key.
+    key = F.coalesce(F.col(f"`{names[at_id]}`").cast("bigint"), F.monotonically_increasing_id())
+    dealt = docs.select(*columns, F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(block)).repartition(count, block)
 
     def asked(batches):
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("least", pa.int64()), ("greatest", pa.int64()), ("n", pa.int64())])

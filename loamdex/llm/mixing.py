@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.common import fresh, keyed, stored
@@ -116,22 +116,30 @@ def taken_words(sizes: np.ndarray, quota: int, block: int, order: np.ndarray) ->
     return rounds * sizes + before(ends) - before(ends - sizes)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id and text, by which documents are dealt and ordered: rows that share an id, or have none, are no one key."""
+    of = {c.lower(): F.col(f"`{c}`") for c in docs.columns}
+    return F.xxhash64(of["doc_id"].cast("bigint"), of["text"].cast("string"))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of `[^\\x20\\x09-\\x0D]+` in the text, 0 for null."""
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64())])
+    """doc_id, source, key (a hash of id and text) and size: the number of `[^\\x20\\x09-\\x0D]+` in the text, 0 for null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("key", pa.int64()), ("size", pa.int64())])
 
     def count(batches):
         for batch in batches:
             for block in blocks(batch.column(1)):
                 starts, _ = runs(NOT_SPACE[block.data], block.offsets)
                 sizes = np.diff(np.searchsorted(starts, block.offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), batch.column(2).slice(block.first, block.rows), pa.array(sizes, pa.int64())], schema=schema)
+                own = [batch.column(i).slice(block.first, block.rows) for i in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64())], schema=schema)
 
-    return keyed(docs, "source").mapInArrow(count, "doc_id long, source string, size long")
+    rows = keyed(docs, "source")
+    return rows.withColumn("key", row_key(rows)).mapInArrow(count, "doc_id long, source string, key long, size long")
 
 
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each document.
+    """doc_id, source, key, size, source_size, target and taken of each document.
 
     size counts the text's words.  Sources, in code-point order, null last,
     have the weights in turn; they share `share` times all words, and a target
@@ -141,8 +149,8 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     target within about half a block and the odd-sized last blocks of its shards; a
     block is about a millionth of the mix, but at most about 1 / SHARD_BLOCKS of
     what the source's shards have on average, and at least a word.  Null and empty texts have size 0
-    and are not taken; rows with equal ids are documents of their own; ids may
-    be null.  Reruns agree.  An empty table gives no rows.
+    and are not taken; rows with equal ids are documents of their own, which are
+    dealt by a hash of id and text; ids may be null.  Reruns agree.  An empty table gives no rows.
     """
     sizes = stored(word_counts(docs), "sizes")
     rows = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
@@ -161,8 +169,9 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     table = spark.createDataFrame([(r.source, int(r.words), float(t), int(q), int(n), int(b)) for r, t, q, n, b in zip(rows, targets, quotas, shards_of, block, strict=True)], kind)
     table = table.withColumnRenamed("source", "named")
     table = F.broadcast(table) if len(rows) <= 100_000 else table
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(seed)), F.col("shards"))
-    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named)).select("doc_id", "source", "size", "source_size", "target", "quota", "shards", "block", shard.alias("shard"))
+    shard = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("shards"))
+    dealt = sizes.join(table, sizes.source.eqNullSafe(table.named))
+    dealt = dealt.select("doc_id", "source", "key", "size", "source_size", "target", "quota", "shards", "block", shard.alias("shard"))
 
     def apportion(part: pa.Table) -> pa.Table:
         """The quota of the rows' source or group, by the words of each row."""
@@ -182,25 +191,27 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     full = dealt.join(quotas_of, dealt.source.eqNullSafe(quotas_of.named) & (dealt.shard == quotas_of.of)).drop("named", "of", "quota", "shards")
 
     def take(part: pa.Table) -> pa.Table:
-        ids, size = part["doc_id"].fill_null(0).to_numpy(), part["size"].to_numpy()
-        order = np.lexsort((size, ids, seeded(ids, seed)))
+        keys, size = part["key"].to_numpy(), part["size"].to_numpy()
+        order = np.lexsort((size, keys, seeded(keys, seed)))
         part, size, block = part.take(pa.array(order)), size[order], part["block"][0].as_py()
         number = int(-(-size.sum() // block))
         ranks = seeded(np.arange(number) + part["shard"][0].as_py() * 1_000_003, seed + 1)
         taken = taken_words(size, part["shard_quota"][0].as_py(), block, ranks)
         return part.drop_columns(["shard", "shard_quota", "block"]).append_column("taken", pa.array(taken, pa.int64()))
 
-    return full.groupBy("source", "shard").applyInArrow(take, "doc_id long, source string, size long, source_size long, target double, taken long")
+    return full.groupBy("source", "shard").applyInArrow(take, "doc_id long, source string, key long, size long, source_size long, target double, taken long")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs that the mix takes words of, with size, target and taken (columns of these names are replaced).
 
-    Options are those of mix_sources().  Rows that share an id, or have none,
-    each get the largest share of their id.
+    Options are those of mix_sources().  Rows that share id, source and text
+    share what the mix takes of them equally (less than a word a row is lost).
     """
-    id_, size, target, taken = (fresh(docs.columns, c) for c in ("mix_id", "mix_size", "mix_target", "mix_taken"))
-    mix = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias(id_)).agg(F.max("size").alias(size), F.max("target").alias(target), F.max("taken").alias(taken))
+    own, (source, key, size, target, taken) = {c.lower(): c for c in docs.columns}, (fresh(docs.columns, f"mix_{c}") for c in ("source", "key", "size", "target", "taken"))
+    share = F.floor(F.sum("taken") / F.count(F.lit(1))).cast("bigint")
+    mix = mix_sources(docs, **options).groupBy(F.col("source").alias(source), F.col("key").alias(key)).agg(F.max("size").alias(size), F.max("target").alias(target), share.alias(taken))
     names = [c for c in docs.columns if c.lower() not in ("size", "target", "taken")]
-    joined = docs.join(mix, docs["doc_id"].cast("bigint").eqNullSafe(F.col(id_)))
+    of = docs[own["source"]].cast("string") if "source" in own else F.lit(None).cast("string")
+    joined = docs.join(mix.where(F.col(taken) > 0), (row_key(docs) == F.col(key)) & of.eqNullSafe(F.col(source)))
     return joined.select(*(F.col(f"`{c}`") for c in names), F.col(size).alias("size"), F.col(target).alias("target"), F.col(taken).alias("taken"))

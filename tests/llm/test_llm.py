@@ -608,18 +608,78 @@ def test_small_sources_come_to_their_targets(spark, monkeypatch, parts, shard):
     assert all(taken[s] == pytest.approx(target[s], rel=0.01) for s in ("big0", "big1", "ten"))
 
 
+def quotients_brute(votes, seats, most):
+    out = [0] * len(votes)
+    for _ in range(seats):
+        open_ = [i for i, v in enumerate(votes) if v > 0 and out[i] < most[i]]
+        if not open_:
+            break
+        out[min(open_, key=lambda i: (-votes[i] / (2 * out[i] + 1), i))] += 1
+    return out
+
+
+def mix_brute(rows, shard_of, weights=(5, 2, 1), share=1.5, limit=2.0, seed=mixing.SEED):
+    """The mix by lists: rows (doc_id, source, key, size), one shard group a source; words are laid end to end and taken one by one."""
+    sources = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {s: sum(r[3] for r in rows if r[1] == s) for s in sources}
+    left, target, open_ = share * sum(size.values()), {}, list(enumerate(sources))
+    while open_:
+        level = left / sum(weights[i % 3] for i, _ in open_)
+        over = [(i, s) for i, s in open_ if weights[i % 3] * level > limit * size[s]]
+        for i, s in over or open_:
+            target[s] = limit * size[s] if over else weights[i % 3] * level
+            left -= target[s] if over else 0
+        open_ = [x for x in open_ if x not in over] if over else []
+    words = quotients_brute([target[s] for s in sources], round(sum(target.values())), [int(limit * size[s]) for s in sources])
+    taken = {}
+    for s, quota in zip(sources, words, strict=True):
+        own = [r for r in rows if r[1] == s]
+        shards = sorted({shard_of(r) for r in own})
+        block = max(1, min(int(share * sum(size.values())) // mixing.BLOCKS, size[s] // max(1, mixing.SHARD_BLOCKS * -(-len(own) // mixing.SHARD_DOCS))))
+        held = [sum(r[3] for r in own if shard_of(r) == k) for k in shards]
+        given = quotients_brute(held, (quota + block // 2) // block, [2 * -(-h // block) for h in held])
+        for k, n in zip(shards, given, strict=True):
+            mine = sorted((r for r in own if shard_of(r) == k), key=lambda r: (int(mixing.seeded(np.array([r[2]]), seed)[0]), r[2], r[3]))
+            laid = [j for j, r in enumerate(mine) for _ in range(r[3])]
+            count = -(-len(laid) // block)
+            order = sorted(range(count), key=lambda b: (int(mixing.seeded(np.array([b + k * 1_000_003]), seed + 1)[0]), b))
+            times = [0] * count
+            for i in range(n):
+                times[order[i % count]] += 1
+            for w, j in enumerate(laid):
+                taken[mine[j]] = taken.get(mine[j], 0) + times[w // block]
+    return sorted((r[0], r[3], size[r[1]], taken.get(r, 0)) for r in rows), target
+
+
+def test_mix_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 12)
+    monkeypatch.setattr(mixing, "BLOCKS", 1 << 8)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    rows = [(i, f"t{i} " * (i * 7 % 31), "en", ("a", "b", "hot", "hot", None)[i % 5]) for i in range(150)]
+    got = mixing.mix_sources(table(spark, rows, False)).collect()
+    keyed_ = [(r.doc_id, r.source, r.key, r.size) for r in got]
+    count = {s: sum(r[1] == s for r in keyed_) for s in {r[1] for r in keyed_}}
+    hashes = {r.key: r.h for r in spark.createDataFrame([(r[2],) for r in keyed_], "key long").select("key", F.xxhash64("key", F.lit(mixing.SEED)).alias("h")).collect()}
+    want, target = mix_brute(keyed_, lambda r: hashes[r[2]] % -(-count[r[1]] // 12))
+    assert sorted((r.doc_id, r.size, r.source_size, r.taken) for r in got) == want
+    assert all(r.target == pytest.approx(target[r.source]) for r in got)
+
+
+def test_the_mix_of_rows_without_ids_meets_its_targets(spark):
+    rows = [(None if i % 2 else 7, f"w{i % 40} " * (i % 9 + 1), "en", f"s{i % 3}") for i in range(400)]
+    plain = {r.source: r.target for r in mixing.mix_sources(table(spark, rows, False)).collect()}
+    out = mixing.mixed_documents(table(spark, rows)).collect()
+    for source, target in plain.items():
+        assert sum(r.taken for r in out if r.source == source) == pytest.approx(target, rel=0.08)
+    assert all(0 < r.taken <= 2 * r.size for r in out)
+
+
 def test_sainte_lague_takes_the_highest_quotients():
     rng = random.Random(2)
     for _ in range(200):
         votes = [rng.choice([0, rng.random() * 50, rng.randint(1, 9)]) for _ in range(rng.randint(1, 6))]
         seats, most = rng.randint(0, 30), [rng.randint(0, 12) for _ in votes]
-        want = [0] * len(votes)
-        for _ in range(seats):
-            open_ = [i for i, v in enumerate(votes) if v > 0 and want[i] < most[i]]
-            if not open_:
-                break
-            want[min(open_, key=lambda i: (-votes[i] / (2 * want[i] + 1), i))] += 1
-        assert mixing.sainte_lague(np.array(votes), seats, np.array(most)).tolist() == want
+        assert mixing.sainte_lague(np.array(votes), seats, np.array(most)).tolist() == quotients_brute(votes, seats, most)
 
 
 def test_language_accuracy(spark):
@@ -643,10 +703,118 @@ def test_texts_of_no_learned_language_go(spark):
     assert kept == {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
 
 
-def test_too_many_languages_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
-    with pytest.raises(ValueError, match="languages"):
-        langid.language_id(table(spark))
+def test_languages_in_several_matrices_score_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").unionByName(table(spark, extra=False).select("doc_id", "text", "lang"))
+    want = {(r.doc_id, r.lang_pred): r.score for r in langid.language_id(docs).collect()}
+    kept = sorted(r.doc_id or 0 for r in langid.known_language(docs).collect())
+    for most in (1, 3):
+        monkeypatch.setattr(langid, "MATRIX_LANGUAGES", most)
+        assert {(r.doc_id, r.lang_pred): r.score for r in langid.language_id(docs).collect()} == pytest.approx(want, abs=1e-9)
+        assert sorted(r.doc_id or 0 for r in langid.known_language(docs).collect()) == kept
+
+
+def grams_brute(text):
+    """Buckets of all n-grams with a letter of a text, by plain integers."""
+    codes = []
+    for c in text:
+        code = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+        if code or (codes and codes[-1]):
+            codes.append(code)
+    out, mask = [], 2**64 - 1
+    for n in langid.ORDERS:
+        for i in range(len(codes) - n + 1):
+            if any(codes[i : i + n]):
+                h = n
+                for c in codes[i : i + n]:
+                    h = (h * 0x9FB21C651E98DF25 + c) & mask
+                for _ in range(2):
+                    h ^= h >> 32
+                    h = h * 0xD6E8FEB86659FD93 & mask
+                h ^= h >> 32
+                out.append((h >> 40) & (langid.BUCKETS - 1))
+    return out
+
+
+def test_language_posteriors_equal_brute_force(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 60").fetchall()
+    rows = [(d, (t or "")[:400], lang) for d, t, lang in rows] + [(900, "ÄÖ 12 İx", "xx"), (901, None, "xx"), (902, "abc", None), (903, "...", "de")]
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    counts, docs = {}, {}
+    for d, t, lang in rows:
+        if lang is not None and t is not None and not held(d):
+            docs[lang] = docs.get(lang, 0) + 1
+            own = counts.setdefault(lang, {})
+            for g in grams_brute(t):
+                own[g] = own.get(g, 0) + 1
+    want = {}
+    for d, t, _ in rows:
+        grams = grams_brute(t or "")
+        if not grams:
+            want[d] = (held(d), "und", 0.0)
+            continue
+        sums = {}
+        for lang in sorted(docs):
+            total = sum(counts[lang].values()) + 0.5 * langid.BUCKETS
+            sums[lang] = np.log(docs[lang] / sum(docs.values())) + sum(np.log((counts[lang].get(g, 0) + 0.5) / total) for g in grams)
+        best = max(sums, key=lambda k: (sums[k], [-ord(c) for c in k]))
+        want[d] = (held(d), best, 1 / sum(np.exp(x - sums[best]) for x in sums.values()))
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+    assert {d: x[2] for d, x in got.items()} == pytest.approx({d: x[2] for d, x in want.items()}, abs=1e-9)
+
+
+def split_brute(x, g, h, edges, least, l2):
+    """The best split of all rows by trying each cut of each feature: (gain, feature, cut)."""
+    best = (0.0, -1, 0.0)
+    for j in range(x.shape[1]):
+        for cut in edges[j]:
+            left = x[:, j] <= cut
+            if h[left].sum() < least or h[~left].sum() < least:
+                continue
+            value = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+            gain = value(left) + value(~left) - value(np.ones(len(x), bool))
+            if gain > best[0] + 1e-9:
+                best = (gain, j, cut)
+    return best
+
+
+def test_trees_equal_brute_force():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 5)).round(2)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 3] + 0.3 * rng.normal(size=300) > 0)).astype(float)
+    trees = quality.fit(x, y, trees=12, depth=3)
+
+    def walk(at, row):
+        while trees.feature[at] >= 0:
+            at = trees.left[at] if row[trees.feature[at]] <= trees.cut[at] else trees.right[at]
+        return trees.value[at]
+
+    others = np.concatenate([x, rng.normal(size=(50, 5)), [[np.inf, -np.inf, 0, 1e9, -1e9]]])
+    plain = np.array([trees.base + sum(walk(r, row) for r in trees.roots) for row in others])
+    assert trees.raw(others) == pytest.approx(plain) and trees.score(others) == pytest.approx(1 / (1 + np.exp(-plain)))
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65)[1:-1])) for j in range(5)]
+    p = np.full(300, (y.sum() + 0.5) / 301)
+    _, feature, cut = split_brute(x, y - p, p * (1 - p), edges, 2.0, 1.0)
+    assert (trees.feature[trees.roots[0]], trees.cut[trees.roots[0]]) == (feature, cut)
+    # the first tree's leaves hold the step of their rows
+    rows = x[:, feature] <= cut
+    assert 0 < rows.sum() < 300 and ((trees.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_the_quality_query_equals_brute_force(spark):
+    """Labels of usable rows only, statistics of whole texts, and scores by walking the trees."""
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    marks = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall())
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _ in docs}
+    (found,) = [np.concatenate([quality.statistics(b) for b in blocks(pa.array([t for _, t in docs]))])]
+    rows = [i for i, (d, _) in enumerate(docs) if d in marks and not held[d]]
+    x, y = found[rows], np.array([marks[docs[i][0]] for i in rows], float)
+    order = np.lexsort(x.T)
+    trees = quality.fit(x[order], y[order])
+    want = {d: (held[d], s, int(s >= 0.7)) for (d, _), s in zip(docs, trees.score(found).tolist(), strict=True)}
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in queries.op6_quality(spark, SF).collect()}
+    assert {d: (a, c) for d, (a, _, c) in got.items()} == {d: (a, c) for d, (a, _, c) in want.items()}
+    assert {d: b for d, (_, b, _) in got.items()} == pytest.approx({d: b for d, (_, b, _) in want.items()})
 
 
 def test_quality_accuracy(spark):
