@@ -8,6 +8,7 @@ from collections.abc import Callable
 from contextlib import suppress
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,8 @@ class Index:
     A batch is what one flush or merge wrote; it holds its segments by number
     from 0, and the manifest gives their first id, so ids are 0, 1, 2, ... over
     all batches.  A commit writes files first and then the next manifest, under
-    a number that must be free; readers take the greatest complete one, so they
-    see the old state or the new one, and no update is lost.  With a compressor,
+    a number that must be free; readers take the greatest one, so they see the
+    old state or the new one, and no update is lost.  With a compressor,
     positions are stored as its bytes.
     """
 
@@ -101,36 +102,39 @@ class Index:
         fs, path = self._file(folder)
         return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
 
-    def _state(self, name: str) -> dict | None:
-        """A manifest; None if its writer has not finished it."""
+    def _state(self, name: str) -> dict:
         fs, path = self._file(f"manifests/{name}")
         stream = fs.open(path)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
-        except ValueError:
-            return None
         finally:
             stream.close()
 
     def manifest(self) -> dict:
         """The current state: its version, batches (name, first, segments, docs), deleted terms, and streams' last batches."""
-        for name in reversed(self._names("manifests")):
-            if (state := self._state(name)) is not None:
-                return state
+        if names := self._names("manifests"):
+            return self._state(names[-1])
         return {"version": 0, "batches": [], "deleted": [], "streams": {}}
 
     def _publish(self, state: dict) -> None:
         """The state as the version after the one that it was read from; Conflict if another writer was first."""
         state = {**state, "version": state["version"] + 1}
         fs, path = self._file(f"manifests/{state['version']:012d}.json")
-        if fs.exists(path):
-            raise Conflict(f"version {state['version']} is taken")
-        try:
-            out = fs.create(path, False)
-        except Exception as e:
-            raise Conflict(f"version {state['version']} is taken") from e
+        _, draft = self._file(f"drafts/{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        fs.mkdirs(path.getParent())
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:  # a rename that does not overwrite: the manifest appears whole, or not at all
+            context.rename(draft, path, options)
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass().getName()):
+                raise
+            raise Conflict(f"version {state['version']} is taken") from None
 
     def _update(self, change: Callable[[dict], dict]) -> dict:
         """Publish a change of the current state, again on the newer one where another writer was first."""
@@ -293,8 +297,8 @@ class Index:
         """
         names = self._names("manifests")
         held, old = names[-kept:], names[:-kept]
-        used = {b["name"] for n in held for b in (self._state(n) or {"batches": []})["batches"]}
-        known = {b["name"] for n in old for b in (self._state(n) or {"batches": []})["batches"]}
+        used = {b["name"] for n in held for b in self._state(n)["batches"]}
+        known = {b["name"] for n in old for b in self._state(n)["batches"]}
         gone = [f"{kind}/{n}" for kind in ("docs", "postings", "segments") for n in self._names(kind) if n in known - used]
         for name in [*gone, *(f"manifests/{n}" for n in old)]:
             fs, path = self._file(name)

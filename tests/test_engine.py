@@ -1,4 +1,5 @@
 import os
+import random
 
 import duckdb
 import pytest
@@ -12,11 +13,13 @@ from loamdex.functions.lists import list_intersect, list_union
 from loamdex.functions.porter import stem
 from loamdex.functions.wordbreak import WordBreaker, probabilities, read_dictionary, rewritten
 from loamdex.operators import search
-from loamdex.operators.index import Index, merge_segments
+from loamdex.operators.index import Conflict, Index, Superseded, build_postings, merge_segments
 from loamdex.plans import catalog, ranking
 from loamdex.plans.engine import SearchEngine
 from loamdex.plans.graph import page_rank
-from loamdex.sources.store import DocumentStore
+from loamdex.sources import store, tables
+from loamdex.sources.store import DocumentStore, number_rows
+from loamdex.streaming.ingest import write_segments
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", " ", "a", catalog.COMPOSED, "soup~42/recipes>kitchen", "x^y  z", "tail  ", "  lead", "\x01ctl\x01", "a\x0bb\x85c d\xa0e", None, "THE End. the", "İx ΑΣ"]
@@ -79,13 +82,13 @@ def test_word_break(spark):
 
 
 def test_store(spark, tmp_path):
-    store = DocumentStore.create_or_open(spark, f"file://{tmp_path}/store")
-    assert store.size() == 0 and store.get(1) is None
-    store.bulk_load(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id int, text string"))
-    store.add(spark.createDataFrame([(2, "zwei"), (3, "drei")], "doc_id int, text string"))
-    assert DocumentStore.create_or_open(spark, store.path).size() == 3
-    assert [tuple(r) for r in store.scan().collect()] == [(1, "one"), (2, "zwei"), (3, "drei")]
-    assert store.get(2) == "zwei" and store.get(9) is None and [r.doc_id for r in store.keys().collect()] == [1, 2, 3]
+    held = DocumentStore.create_or_open(spark, f"file://{tmp_path}/store")
+    assert held.size() == 0 and held.get(1) is None
+    held.bulk_load(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id int, text string"))
+    held.add(spark.createDataFrame([(2, "zwei"), (3, "drei")], "doc_id int, text string"))
+    assert DocumentStore.create_or_open(spark, held.path).size() == 3
+    assert [tuple(r) for r in held.scan().collect()] == [(1, "one"), (2, "zwei"), (3, "drei")]
+    assert held.get(2) == "zwei" and held.get(9) is None and [r.doc_id for r in held.keys().collect()] == [1, 2, 3]
 
 
 def ids(df):
@@ -110,10 +113,115 @@ def test_index_life(spark, tmp_path):
     assert index.postings(0).where("term = 'cat' and doc_id = 1").first().positions == [0, 1]
 
 
+def test_index_writers_lose_no_update(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "cats dogs"), (1, "dogs birds")], "doc_id long, text string")
+    a, b = (Index(spark, f"file://{tmp_path}/index") for _ in range(2))
+    a.add(docs, 1)
+    old = b.manifest()
+    a.delete_term("dogs")
+    with pytest.raises(Conflict):  # another writer was first
+        b._publish({**old, "deleted": ["cats"]})
+    assert b.manifest()["deleted"] == ["dogs"] and b.manifest()["version"] == 2
+    b._update(lambda state: {**state, "deleted": [*state["deleted"], "cats"]})
+    b.add(docs, 2)
+    assert a.manifest()["deleted"] == ["dogs", "cats"] and a.num_segments == 3 and a.num_documents(2) == 2
+    assert ids(search.search_or(a.postings(), ["cats", "dogs", "birds"], a.analyzer)) == [1, 1]
+    # a flush while a merge is under way stays, behind the merged segments; a second merge of the same ones is void
+    before = a.manifest()
+    a.merge()
+    assert a.num_segments == 2 and a.manifest()["deleted"] == [] and a.document_frequency(0, "dogs") == 0
+    late = Index(spark, a.path)
+    late.manifest = lambda real=late.manifest, first=[before]: first.pop() if first else real()
+    with pytest.raises(Superseded):
+        late.merge()
+    assert a.num_documents() == 4 and [tuple(r) for r in a.segments().orderBy("segment_id").collect()] == [(0, 2), (1, 2)]
+
+
+def test_old_versions_go(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index", merge_at=99)
+    for i in range(3):
+        index.add(spark.createDataFrame([(i, f"word{i} shared")], "doc_id long, text string"))
+    index.merge()
+    held = lambda kind: len(list((tmp_path / "index" / kind).glob("[!.]*")))
+    assert held("manifests") == 2 and held("docs") == 4
+    assert index.vacuum(1) == 10 and held("postings") == 1
+    assert ids(search.keyword(index.postings(), "shared", index.analyzer)) == [0, 1, 2] and index.num_segments == 2
+    assert index.vacuum(1) == 0 and Index(spark, f"file://{tmp_path}/none").vacuum() == 0
+
+
+def test_ids_may_repeat_over_segments(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index", compressor=codec.DELTA)
+    index.add(spark.createDataFrame([(5, "red apple"), (6, "green")], "doc_id long, text string"))
+    index.add(spark.createDataFrame([(5, "apple pie"), (5, "red")], "doc_id long, text string"))
+    found = lambda df: sorted(map(tuple, df.collect()))
+    assert found(search.search_and(index.postings(), ["red", "apple"], index.analyzer)) == [(0, 0, 5)]
+    assert found(search.phrase(index.postings(), ["apple pie"], index.analyzer)) in ([(1, 0, 5)], [(1, 1, 5)])
+    assert len(found(search.keyword(index.postings(), "red", index.analyzer))) == 2
+    assert index.stored_bytes().first()[0] == 6  # a byte a position
+    row = index.load(0).first()
+    assert [d.text for d in row.documents] == ["red apple", "green"] and [p.term for p in row.postings] == ["apple", "green", "red"]
+    assert index.load(7) is None and [r.doc_id for r in index.lookup("apple").collect()] == [5, 5]
+
+
+def test_streams_add_each_batch_once(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/index", merge_at=99)
+    (tmp_path / "in").mkdir()
+    run = lambda: write_segments(spark.readStream.schema("doc_id long, text string").json(f"{tmp_path}/in"), index, f"{tmp_path}/state").awaitTermination()
+    (tmp_path / "in/a.json").write_text('{"doc_id": 1, "text": "one"}\n{"doc_id": 2, "text": "two"}')
+    run()
+    run()
+    assert index.num_segments == 1 and index.num_documents() == 2
+    (tmp_path / "in/b.json").write_text('{"doc_id": 3, "text": "three two"}')
+    run()
+    assert index.num_segments == 2 and ids(search.keyword(index.postings(), "two", index.analyzer)) == [2, 3]
+    index.add(spark.createDataFrame([(9, "again")], "doc_id long, text string"), stream=("stream", 1))
+    assert index.num_documents() == 3  # that batch was in already
+
+
+@pytest.mark.parametrize("rows", [1 << 17, 7])
+def test_row_numbers(spark, monkeypatch, rows):
+    monkeypatch.setattr(store, "SPAN_ROWS", rows)
+    rng = random.Random(1)
+    keys = [rng.randint(-(2**62), 2**62) for _ in range(200)] + list(range(50)) + [7] * 40 + [None, None]
+    got = sorted((r.rn, r.k) for r in number_rows(spark.createDataFrame([(k,) for k in keys], "k long").repartition(5), "k").collect())
+    assert [n for n, _ in got] == list(range(1, len(keys) + 1))
+    assert [k for _, k in got] == sorted((k for k in keys if k is not None)) + [None, None]
+    assert number_rows(spark.createDataFrame([], "k long"), "k").collect() == []
+
+
+def test_stemmed_postings_equal_brute_force(spark):
+    docs = [tuple(r) for r in duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' LIMIT 80").fetchall()] + [(-1, "Cats cat CATS, hopping the hops"), (-2, None), (-3, "the of")]
+    want = {}
+    for d, t in docs:
+        for i, term in enumerate(punctuation_tokens_py(t)):
+            want.setdefault((stem(term), d), []).append(i)
+    found = build_postings(spark.createDataFrame(docs, "doc_id long, text string"), Analyzer(stem=stem))
+    assert {(r.term, r.doc_id): r.positions for r in found.collect()} == want
+    assert want["cat", -1] == [0, 1, 2] and want["hop", -1] == [3, 4]
+
+
+def test_sizes_equal_the_codecs(spark):
+    values = [None, [], [0], [5, 5, 6], [127, 128, 16384, 2**31 - 1], [2**62, 2**62 + 1], [3, 2**40, 2**56]]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<bigint>")
+    for r in rows.select(codec.delta_size(F.col("v")).alias("d"), F.length(codec.delta_encode(F.col("v"))).alias("e"), codec.naive_size(F.col("v")).alias("n"), F.length(codec.naive_encode(F.col("v"))).alias("m")).collect():
+        assert r.d == r.e and r.n == r.m
+
+
+def test_scratch_tables_go(spark):
+    made = []
+
+    def make():
+        made.append(tables.stored(spark.range(5).toDF("x"), "step"))
+        return made[0].where("x > 2")
+
+    out = tables.settled(spark, make, "out")
+    assert sorted(r.x for r in out.collect()) == [3, 4]
+    with pytest.raises(Exception, match="does not exist|FileNotFound|No such file"):
+        made[0].collect()
+
+
 def test_search_edges(spark):
     docs = spark.createDataFrame([(0, "dog dog"), (1, "dog cat"), (2, "cat dog cat"), (3, None)], "doc_id long, text string")
-    from loamdex.operators.index import build_postings
-
     plain, rows = Analyzer(), build_postings(docs, Analyzer())
     assert ids(search.search_and(rows, ["dog", "dog"], plain)) == [0, 1, 2]
     assert ids(search.search_and(rows, ["dog", "the"], plain)) == [] and ids(search.search_and(rows, [], plain)) == []
@@ -126,8 +234,6 @@ def test_search_edges(spark):
 
 
 def test_tf_idf_goldens(spark):
-    from loamdex.operators.index import build_postings
-
     docs = spark.createDataFrame([(0, "cat"), (1, "dog dog wolf"), (2, "cat dog"), (3, "cat dog dog"), (4, "bird")], "doc_id long, text string")
     rows, n = build_postings(docs, Analyzer()), docs.agg(F.count(F.lit(1)).alias("n"))
     assert [r.doc_id for r in ranking.tf_idf(rows, n, ["cat", "dog", "dog"], 3).collect()] == [3, 2, 1]
