@@ -32,6 +32,13 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application has stored; no result that is still to be read may come from it."""
     remove(spark, f"{shared_folder(spark)}/loamdex/{spark.sparkContext.applicationId}")

@@ -17,7 +17,7 @@ from loamdex.operators.index import Conflict, Index, Superseded, build_postings,
 from loamdex.plans import catalog, ranking
 from loamdex.plans.engine import SearchEngine
 from loamdex.plans.graph import page_rank
-from loamdex.sources import store, tables
+from loamdex.sources import metrics, store, tables
 from loamdex.sources.store import DocumentStore, number_rows
 from loamdex.streaming.ingest import write_segments
 
@@ -207,6 +207,15 @@ def test_sizes_equal_the_codecs(spark):
         assert r.d == r.e and r.n == r.m
 
 
+def test_counters(spark, tmp_path):
+    spark.range(0, 4000, 1, 4).selectExpr("id", "id % 7 as x").write.partitionBy("x").parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    whole = metrics.counted(rows)
+    part = metrics.counted(rows.where("x = 3").groupBy("x").count())
+    assert whole["files"] == 28 and whole["rows"] == 4000 and whole == metrics.counted(rows)
+    assert part["files"] == 4 and part["rows"] == rows.where("x = 3").count() and 0 < part["bytes"] < whole["bytes"]
+
+
 def test_scratch_tables_go(spark):
     made = []
 
