@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.sources.tables import new_path, shared_folder, stored
+from loamdex.sources.tables import discard, new_path, shared_folder, stored
 
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -54,4 +54,4 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(docs[c].cast(kinds.get(c, "string")).alias(c) if c in names else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in ("doc_id", "text", *more)))
 
 
-__all__ = ["fresh", "input_bytes", "keyed", "new_path", "remainder", "shared_folder", "small_batches", "stored", "tasks"]
+__all__ = ["discard", "fresh", "input_bytes", "keyed", "new_path", "remainder", "shared_folder", "small_batches", "stored", "tasks"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import stored
+from loamdex.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def components(links: DataFrame) -> DataFrame:
         around = pairs.join(labels, pairs.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         stepped = labels.join(around, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         roots = labels.select(F.col("id").alias("to"), F.col("component").alias("root"))
-        moved = stored(stepped.join(roots, "to", "left").select("id", F.least("to", F.coalesce("root", "to")).alias("component"), "was"), "labels")
+        before, moved = labels, stored(stepped.join(roots, "to", "left").select("id", F.least("to", F.coalesce("root", "to")).alias("component"), "was"), "labels")
+        discard(before)
         labels = moved.select("id", "component")
         if moved.where("component <> was").limit(1).count() == 0:
+            discard(pairs)
             return labels

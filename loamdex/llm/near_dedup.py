@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, keyed, stored
+from loamdex.llm.common import discard, fresh, keyed, stored
 from loamdex.llm.components import components
 from loamdex.llm.textops import NOT_SPACE, Block, blocks, mix, windows, words
 
@@ -381,6 +381,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         dealt = _block_pairs(ends, ["lead"], _blocks_of(BLOCK_DOCS, BLOCK_SHINGLES)).drop("n")
         more = _verified(known, dealt, ["lead", "x", "y"], shingle, percent)
         labels = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        discard(ends)
+    discard(members, pairs, counts, links, mixed, chances)
 
     # Empty sets take no part in the join: they would all meet in one key.
     linked = nodes.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
