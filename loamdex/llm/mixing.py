@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.common import fresh, keyed, stored
+from loamdex.llm.common import fresh, keyed, stored, tasks
 from loamdex.llm.textops import NOT_SPACE, blocks, runs
 
 WEIGHTS = (5, 2, 1)
@@ -33,8 +33,10 @@ BLOCKS = 1 << 20
 SHARD_BLOCKS = 256
 #: Shards of a group, about: a source's blocks go to its groups first, then to a group's shards, so that no task sees all shards of a source.
 GROUP_SHARDS = 1_000
-#: One row a source goes through the driver; more sources than this are refused.
-MAX_SOURCES = 1_000_000
+#: Up to so many sources are apportioned on the driver, a row each; more of them in tables, with the same result.
+DRIVER_SOURCES = 100_000
+#: Divisors that one job tries.
+TRIED = 24
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, limit: float) -> np.ndarray:
@@ -71,8 +73,7 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     high, low = float(votes.max()) * 2, float(votes.max()) / (4.0 * seats + 4)
     while given(low).sum() < seats:
         low /= 16
-    for _ in range(200):
-        mid = (low + high) / 2
+    while low < (mid := (low + high) / 2) < high:
         if given(mid).sum() > seats:
             low = mid
         else:
@@ -138,6 +139,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", row_key(rows)).mapInArrow(count, "doc_id long, source string, key long, size long")
 
 
+def _apportioned(sources: DataFrame, weights: tuple, share: float, limit: float) -> DataFrame:
+    """sources (source, words, docs) with source_size, target and words_given (by highest quotients)."""
+    rows = sorted(sources.collect(), key=lambda r: (r.source is None, r.source or ""))
+    words = np.array([r.words for r in rows], np.float64)
+    by_weight = np.array([weights[i % len(weights)] for i in range(len(rows))], np.float64)
+    total = min(share * float(words.sum()), limit * float(words.sum()))
+    targets = water_fill(words, by_weight, total, limit)
+    given = sainte_lague(targets, round(total), np.array([int(limit * r.words) for r in rows], np.int64))
+    kind = "source string, docs long, source_size long, target double, words_given long"
+    return sources.sparkSession.createDataFrame([(r.source, r.docs, int(r.words), float(t), int(g)) for r, t, g in zip(rows, targets, given, strict=True)], kind)
+
+
+def _apportioned_in_tables(sources: DataFrame, weights: tuple, share: float, limit: float) -> DataFrame:
+    """The same, where the driver sees sums only: the level of the water, a divisor, and where ties are cut."""
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    ranged = sources.repartitionByRange(tasks(spark), order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranged").withColumn("part", F.shiftright("at", 33))
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+    held = ranged.join(F.broadcast(before), "part").select("source", "words", "docs", rank.alias("rank"))
+    weight = F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights)).cast("int"))
+    held = held.select("*", weight.alias("weight"), (F.lit(limit) * F.col("words")).alias("cap"))
+    whole = float(sources.agg(F.sum("words")).first()[0] or 0)
+    total, level = min(share * whole, limit * whole), -1.0
+    while True:  # each round shuts the sources that the level before fills
+        shut = F.col("cap") < F.col("weight") * level
+        caps, open_ = held.agg(F.sum(F.when(shut, F.col("cap"))), F.sum(F.when(~shut, F.col("weight")))).first()
+        now = (total - (caps or 0.0)) / open_ if open_ else level
+        if now <= level:
+            break
+        level = now
+    full = F.col("cap") < F.col("weight") * level
+    target = F.when(full, F.col("cap")).otherwise(F.col("weight") * level)
+    most = F.when(target > 0, F.floor("cap")).otherwise(0).cast("bigint")
+    held = stored(held.select("source", "docs", "rank", F.col("words").alias("source_size"), target.alias("target"), most.alias("most")), "targets")
+    given = lambda d: F.least(F.floor(F.col("target") / (2 * d) + 0.5).cast("bigint"), F.col("most"))
+    top, all_ = held.agg(F.max("target"), F.sum("most")).first()
+    seats = min(round(total), all_ or 0)
+    if seats <= 0:
+        return held.select("source", "docs", "source_size", "target", F.lit(0).cast("bigint").alias("words_given"))
+    high, low = top * 2, top / (4.0 * seats + 4)
+    while held.agg(F.sum(given(low))).first()[0] < seats:
+        low /= 16
+    while mids := sorted({m for i in range(1, TRIED + 1) if low < (m := low + (high - low) * (i / (TRIED + 1))) < high} | ({m} if low < (m := (low + high) / 2) < high else set())):
+        sums = held.agg(*(F.sum(given(m)) for m in mids)).first()
+        over = [m for m, n in zip(mids, sums, strict=True) if n > seats]
+        low, high = max([low, *over]), min([high, *(m for m in mids if m not in over)])
+    held = held.withColumn("words_given", given(high))
+    while (left := seats - held.agg(F.sum("words_given")).first()[0]) > 0:
+        quotient = F.when(F.col("words_given") < F.col("most"), F.col("target") / (2 * F.col("words_given") + 1)).otherwise(-1.0)
+        best = held.agg(F.max(quotient)).first()[0]
+        tied = quotient >= best * (1 - 1e-12)
+        first, last = held.where(tied).agg(F.count(F.lit(1)), F.max("rank")).first()
+        low_rank, high_rank = -1, last  # of more ties than are left, the first by rank
+        while first > left and high_rank - low_rank > 1:
+            mid = (low_rank + high_rank) // 2
+            if held.where(tied & (F.col("rank") <= mid)).count() < left:
+                low_rank = mid
+            else:
+                high_rank = mid
+        held = stored(held.withColumn("words_given", F.col("words_given") + (tied & (F.col("rank") <= high_rank)).cast("bigint")), "given")
+    return held.select("source", "docs", "source_size", "target", "words_given")
+
+
 def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
     """doc_id, source, key, size, source_size, target and taken of each document.
 
@@ -153,22 +220,18 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     dealt by a hash of id and text; ids may be null.  Reruns agree.  An empty table gives no rows.
     """
     sizes = stored(word_counts(docs), "sizes")
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r.source is None, r.source or ""))
-    words = np.array([r.words for r in rows], np.float64)
-    by_weight = np.array([weights[i % len(weights)] for i in range(len(rows))], np.float64)
-    targets = water_fill(words, by_weight, share * words.sum(), limit)
-    shards_of = np.array([-(-r.docs // SHARD_DOCS) for r in rows], np.int64)
-    block = np.maximum(1, np.minimum(int(share * words.sum()) // BLOCKS, words.astype(np.int64) // np.maximum(1, SHARD_BLOCKS * shards_of)))
-    most = np.array([int(limit * r.words) for r in rows], np.int64)
-    quotas = (sainte_lague(targets, round(targets.sum()), most) + block // 2) // block
-    spark = docs.sparkSession
-    kind = "source string, source_size long, target double, quota long, shards long, block long"
-    table = spark.createDataFrame([(r.source, int(r.words), float(t), int(q), int(n), int(b)) for r, t, q, n, b in zip(rows, targets, quotas, shards_of, block, strict=True)], kind)
-    table = table.withColumnRenamed("source", "named")
-    table = F.broadcast(table) if len(rows) <= 100_000 else table
+    sources = stored(sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), "sources")
+    few = sources.count() <= DRIVER_SOURCES
+    table = (_apportioned if few else _apportioned_in_tables)(sources, weights, share, limit)
+    # Blocks of each source: about a millionth of the mix, smaller for small sources.
+    whole = sources.agg(F.sum("words")).first()[0] or 0
+    shards = F.ceil(F.col("docs") / SHARD_DOCS).cast("bigint")
+    own = F.floor(F.col("source_size") / F.greatest(F.lit(1), SHARD_BLOCKS * F.col("shards"))).cast("bigint")
+    block = F.greatest(F.lit(1), F.least(F.lit(int(share * whole) // BLOCKS), own)).cast("bigint")
+    table = table.withColumn("shards", shards).withColumn("block", block)
+    quota = F.floor((F.col("words_given") + F.floor(F.col("block") / 2)) / F.col("block")).cast("bigint")
+    table = table.select(F.col("source").alias("named"), "source_size", "target", quota.alias("quota"), "shards", "block")
+    table = F.broadcast(table) if few else stored(table, "quotas")
     shard = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("shards"))
     dealt = sizes.join(table, sizes.source.eqNullSafe(table.named))
     dealt = dealt.select("doc_id", "source", "key", "size", "source_size", "target", "quota", "shards", "block", shard.alias("shard"))

@@ -665,6 +665,15 @@ def test_mix_equals_brute_force(spark, monkeypatch):
     assert all(r.target == pytest.approx(target[r.source]) for r in got)
 
 
+@pytest.mark.parametrize("kind", ["mixed", "equal", "empty"])
+def test_many_sources_are_mixed_the_same(spark, monkeypatch, kind):
+    size = {"mixed": lambda i: i * i % 37, "equal": lambda i: 3, "empty": lambda i: 0}[kind]
+    rows = [(i, "w " * size(i), "en", None if i % 41 == 0 else f"s{i % 41}") for i in range(160)] + [(900, "w " * (40 if kind == "mixed" else size(0)), "en", "ü")]
+    want = sorted(map(tuple, mixing.mix_sources(table(spark, rows, False)).collect()), key=repr)
+    monkeypatch.setattr(mixing, "DRIVER_SOURCES", 5)
+    assert sorted(map(tuple, mixing.mix_sources(table(spark, rows, False)).collect()), key=repr) == want
+
+
 def test_the_mix_of_rows_without_ids_meets_its_targets(spark):
     rows = [(None if i % 2 else 7, f"w{i % 40} " * (i % 9 + 1), "en", f"s{i % 3}") for i in range(400)]
     plain = {r.source: r.target for r in mixing.mix_sources(table(spark, rows, False)).collect()}
