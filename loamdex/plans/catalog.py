@@ -478,7 +478,7 @@ def _crawl(s, d):
     folder = new_path(s, "crawl")
     ids = []
     for r in _t(s, d, "benchmark").select("item_id", "text").toLocalIterator():  # a small table
-        _put(s, f"{folder}/cleaned/{r.item_id}.txt", f"{r.item_id}\nurl{r.item_id}\n{r.text}\n")
+        _put(s, f"{folder}/cleaned/{r.item_id}.txt", f"{r.item_id}\nurl{r.item_id}\n{r.text or ''}\n")
         ids.append(r.item_id)
     _put(s, f"{folder}/url.tsv", "".join(f"{i}\turl{i}\n" for i in ids))
     _put(s, f"{folder}/id-graph.tsv", "".join(f"{i} {i // 2}\n{i} {i * 3 % 11}\n" for i in ids))
@@ -571,7 +571,7 @@ def _values(rows) -> str:
 
 
 #: The crawl's pages as its files hold them, without the last newline.
-_PAGES = r"documents AS (SELECT item_id AS doc_id, item_id || chr(10) || 'url' || item_id || chr(10) || replace(text, chr(13) || chr(10), chr(10)) AS text FROM benchmark)"
+_PAGES = r"documents AS (SELECT item_id AS doc_id, item_id || chr(10) || 'url' || item_id || chr(10) || replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) AS text FROM benchmark)"
 _IN = ", ".join(f"'{t}'" for t in KEYS)
 ORACLES = {
     "doc_scan": "SELECT doc_id, text FROM documents",
