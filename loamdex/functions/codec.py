@@ -61,7 +61,9 @@ def delta_decode(data: Column, start: Column | None = None, length: Column | Non
         gap = F.shiftleft(acc["gap"], 7).bitwiseOR(b.bitwiseAND(F.lit(127)))
         value = acc["last"] + gap
         ends = b < 128
-        return F.struct(F.when(ends, F.concat(acc["out"], F.array(value))).otherwise(acc["out"]).alias("out"), F.when(ends, F.lit(0).cast("bigint")).otherwise(gap).alias("gap"), F.when(ends, value).otherwise(acc["last"]).alias("last"))
+        out = F.when(ends, F.concat(acc["out"], F.array(value))).otherwise(acc["out"])
+        rest = F.when(ends, F.lit(0).cast("bigint")).otherwise(gap)
+        return F.struct(out.alias("out"), rest.alias("gap"), F.when(ends, value).otherwise(acc["last"]).alias("last"))
 
     return F.when(inside, F.aggregate(_bytes(data), zero, step, lambda acc: acc["out"]))
 

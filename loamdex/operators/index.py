@@ -149,7 +149,11 @@ class Index:
     def _read(self, kind: str, batches: list[dict], keep_bytes: bool = False) -> DataFrame:
         """A table of batches, with the ids that the manifest gives their segments."""
         positions = "" if not self.positional else ", positions array<int>" if self.compressor is None else ", positions binary"
-        schema = {"docs": "doc_id long, text string, local_id int, segment_id int", "postings": f"term string, doc_id long, local_id int, tf long{positions}, segment_id int", "segments": "segment_id int, docs long"}[kind]
+        schema = {
+            "docs": "doc_id long, text string, local_id int, segment_id int",
+            "postings": f"term string, doc_id long, local_id int, tf long{positions}, segment_id int",
+            "segments": "segment_id int, docs long",
+        }[kind]
         out = None
         for b in batches:
             rows = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{b['name']}")

@@ -233,8 +233,10 @@ def tfidf_multi_segment(s, d):
 
 def _edges(s, d):
     """An edge for each line item, from the customer's nation to the supplier's."""
-    orders = _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("src"))
-    lines = _t(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(_t(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst")), F.col("l_suppkey") == F.col("s_suppkey"))
+    orders = _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = orders.select("o_orderkey", F.col("c_nationkey").alias("src"))
+    suppliers = _t(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    lines = _t(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst")
 
 
@@ -290,7 +292,13 @@ def list_operations(s, d):
 
 
 # Stems that the stemmer's tests expect.
-STEMS = {"caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "agreed": "agre", "feed": "feed", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "fizzed": "fizz", "failing": "fail", "filing": "file", "triplicate": "triplic", "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good", "ties": "ti", "dogs": "dog", "need": "need", "disabled": "disabl", "fitting": "fit", "making": "make", "missing": "miss", "meeting": "meet", "meetings": "meet"}
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "agreed": "agre", "feed": "feed", "plastered": "plaster", "bled": "bled",
+    "motoring": "motor", "sing": "sing", "conflated": "conflat", "troubled": "troubl", "sized": "size", "hopping": "hop", "fizzed": "fizz", "failing": "fail",
+    "filing": "file", "triplicate": "triplic", "formative": "form", "formalize": "formal", "electriciti": "electr", "electrical": "electr", "hopeful": "hope", "goodness": "good",
+    "ties": "ti", "dogs": "dog", "need": "need", "disabled": "disabl", "fitting": "fit", "making": "make", "missing": "miss", "meeting": "meet",
+    "meetings": "meet",
+}
 # Integer lists and their bytes under the delta codec.
 DELTAS = {"3,3,7,23,23,65,294,2190,238923": "03000410002A81658E688EB93D", "2147483647": "87FFFFFF7F", "16384": "818000", "128,384,896,1920,3968": "81008200840088009000", "": ""}
 
@@ -348,7 +356,9 @@ def codec_size_ratio(s, d):
 def ingest_stream_segments(s, d):
     """A stream of the documents table, flushed a segment a batch; term frequencies over all segments."""
     path = new_path(s, "stream")
-    stream = s.readStream.schema(_t(s, d).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet" if _is_folder(s, f"{d}/documents.parquet") else f"{d}/document[s].parquet")
+    source = f"{d}/documents.parquet" if _is_folder(s, f"{d}/documents.parquet") else f"{d}/document[s].parquet"
+    reader = s.readStream.schema(_t(s, d).schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    stream = reader.parquet(source)
     held = index.Index(s, f"{path}/index")
     write_segments(stream, held, f"{path}/state").awaitTermination()
     return held.postings().select("doc_id", "term", "tf")

@@ -26,7 +26,8 @@ def tf_idf(postings: DataFrame, num_docs: DataFrame, terms: list[str], top_k: in
     query = spark.createDataFrame(sorted(counted.items()), "term string, qtf long")
     by = identity(postings)
     own = stored(postings.where(F.col("term").isin(sorted(counted))).select("term", *by, "tf"), "matches")
-    idf = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(query), "term").crossJoin(F.broadcast(num_docs)).select("term", "qtf", (F.col("n") / F.col("df")).alias("idf"))
+    df = own.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(query), "term")
+    idf = df.crossJoin(F.broadcast(num_docs)).select("term", "qtf", (F.col("n") / F.col("df")).alias("idf"))
     # The matches are read twice, so they are stored once; idf has one row a query term and is broadcast.
     weighted = own.join(F.broadcast(idf), "term").select(*by, (F.col("tf") * F.col("idf")).alias("w"), (F.col("qtf") * F.col("idf")).alias("q"))
     scores = weighted.groupBy(*by).agg((F.sum(F.col("w") * F.col("q")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))

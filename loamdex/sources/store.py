@@ -33,11 +33,13 @@ class DocumentStore:
     def add(self, docs: DataFrame) -> None:
         """Insert or overwrite; within docs the greatest text of an id counts."""
         batch = (self.versions().agg(F.max("batch")).first()[0] or 0) + 1
-        docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("text").alias("text")).withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.path)
+        rows = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("text").alias("text"))
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(self.path)
 
     def bulk_load(self, docs: DataFrame) -> None:
         """A first load, in files of ascending ids, so that a look-up skips row groups."""
-        docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("batch")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(self.path)
+        rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(0).cast("long").alias("batch"))
+        rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("append").parquet(self.path)
 
     def scan(self) -> DataFrame:
         return latest(self.versions()).orderBy("doc_id")
