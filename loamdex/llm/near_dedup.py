@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     def likely(batches):
         for batch in batches:
             if batch.num_rows:
-                passed = may_link(_matrix(batch.column(2)), _matrix(batch.column(4)), batch.column(3).to_numpy(), batch.column(5).to_numpy(), percent)
+                sizes = (batch.column(i).to_numpy() for i in (3, 5))
+                passed = may_link(_matrix(batch.column(2)), _matrix(batch.column(4)), *sizes, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5)], names=["lead", "id", "n"]).filter(pa.array(passed))
 
     sketches = nodes.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
@@ -362,7 +363,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     whole = pairs.join(counts.where("of = 1").select("lead"), "lead", "left_semi").select("lead", "id", F.lit(1).alias("met"))
     mixed = members.join(labels, "id", "left").join(whole, ["lead", "id"], "left")
     mixed = mixed.select("bucket", "id", F.coalesce("component", "id").alias("label"), (F.col("met").isNull() & (F.col("id") != F.col("lead"))).cast("int").alias("apart"))
-    open_ = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("apart").alias("apart"), F.min("label").alias("p"), F.max("label").alias("q"), *(F.sum(F.xxhash64("id", F.lit(k)) % (1 << 40)).alias(f"sum{k}") for k in (4, 5)))
+    sums = (F.sum(F.xxhash64("id", F.lit(k)) % (1 << 40)).alias(f"sum{k}") for k in (4, 5))
+    labels_of = (F.min("label").alias("p"), F.max("label").alias("q"))
+    open_ = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("apart").alias("apart"), *labels_of, *sums)
     open_ = open_.where("size > 2 and apart > 0 and p < q").groupBy("size", "sum4", "sum5").agg(F.min("bucket").alias("bucket")).select("bucket")
     mixed = stored(mixed.select("bucket", "id", "label").join(open_, "bucket", "left_semi"), "mixed")
 

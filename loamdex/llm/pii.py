@@ -304,7 +304,9 @@ def made_up(count: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]
         sep = rng.choice([" ", "-", ".", "/"])
         local = _grouped(str(rng.randint(2, 9)) + number(9), (3, 3, 4), sep)
         own = str(rng.choice([1, 33, 34, 44, 49]))
-        return rng.choice([f"+{own}{sep}{local}", f"00{own}{sep}{local}", f"+{own} ({local[:3]}) {local[4:]}", f"({local[:3]}) {local[4:]}", local, f"00{own} {number(2)} {number(4)} {number(4)}", f"0{number(2)}{sep}{number(4)}{sep}{number(4)}", f"+{own}{number(9)}"])
+        area, rest = local[:3], local[4:]
+        with_code = [f"+{own}{sep}{local}", f"00{own}{sep}{local}", f"+{own} ({area}) {rest}", f"00{own} {number(2)} {number(4)} {number(4)}", f"+{own}{number(9)}"]
+        return rng.choice([*with_code, f"({area}) {rest}", local, f"0{number(2)}{sep}{number(4)}{sep}{number(4)}"])
 
     def address() -> str:
         return ".".join(str(rng.randint(0, 255)) for _ in range(4))
@@ -379,9 +381,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most_regions: int = 4
                         a, b = max(0, region.start - 24), region.edges[-1] + 12
                         out.append((text[a:b], [(s - a, k, e - a) for s, k, e in spans if a <= s and e <= b]))
             keys = [hashlib.md5(x.encode()).hexdigest() for x, _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([x for x, _ in out], pa.string()), pa.array([[list(s) for s in y] for _, y in out], pa.list_(pa.list_(pa.int32())))], names=["key", "text", "spans"])
+            spans = pa.array([[list(s) for s in y] for _, y in out], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([x for x, _ in out], pa.string()), spans], names=["key", "text", "spans"])
 
-    kept = rows.mapInArrow(found, "key string, text string, spans array<array<int>>").dropDuplicates(["key"]).orderBy("key").limit(most_regions).collect()
+    distinct = rows.mapInArrow(found, "key string, text string, spans array<array<int>>").dropDuplicates(["key"])
+    kept = distinct.orderBy("key").limit(most_regions).collect()
     return fit([(r.text, [tuple(s) for s in r.spans]) for r in kept] + made_up(examples, 1))
 
 
@@ -427,7 +431,8 @@ def personal_data(docs: DataFrame, weights: np.ndarray | None = None, margin: fl
                     column.append(sum(kind == k for _, kind, _ in base))
                 digests.append(hashlib.sha256(spelled(base).encode()).hexdigest())
                 spans.append(spelled(all_))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            columns = [*(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     return rows.mapInArrow(scan, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 

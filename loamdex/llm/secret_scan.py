@@ -42,7 +42,8 @@ class Rule:
         whole = F.regexp_extract_all(text, F.lit(f"({self.pattern})"), F.lit(1))
         judged = whole if self.group == 0 else F.regexp_extract_all(text, F.lit(self.pattern), F.lit(self.group))
         gaps = F.split(text, self.pattern, -1)
-        found = F.arrays_zip(F.transform(gaps, lambda x: F.length(x)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("size"), F.transform(judged, lambda x: F.length(x)).alias("judged"))
+        sizes = lambda texts, name: F.transform(texts, lambda x: F.length(x)).alias(name)
+        found = F.arrays_zip(sizes(gaps, "gap"), sizes(whole, "size"), sizes(judged, "judged"))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
         def step(acc: Column, m: Column) -> Column:

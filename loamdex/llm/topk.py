@@ -323,6 +323,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     best = "best array<struct<vec_id:long,score:long>>"
     near = left.groupBy(*keys).cogroup(data(home)).applyInArrow(first, f"query_id long, x array<double>, dim int, cell int, block int, {best}")
 
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    laid_out = lambda rows: rows.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score")
+    if cells.groupBy("dim").agg(F.sum("blocks").alias("blocks")).where("blocks > 1").limit(1).count() == 0:
+        return ranked(laid_out(near))  # one block a length: the first round has seen all
+
     def route(batches):
         """The kth score so far (null: fewer than k), and the cells that may hold a better one."""
         held, reach = shared.value, limits.value
@@ -356,6 +364,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
         return pa.table({"query_id": a["query_id"].to_numpy()[rows], "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
 
     far = left.groupBy(*keys).cogroup(data(wanted)).applyInArrow(further, "query_id long, vec_id long, score long")
-    found = routed.select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.score").unionByName(far)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(laid_out(routed).unionByName(far))
