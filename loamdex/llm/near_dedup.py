@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     reach, itself included, and kept is true where it is the row's own.  The
     bands follow percent (band_rows()); a percent that they cannot serve is refused.
     Documents without words (or with null text) have the empty set and are
-    linked with nothing.  Rows that share an id are one document.  A row with a
+    linked with nothing.  Rows that share an id are one document; if their
+    sets differ, the one of the least hash leads to its links.  A row with a
     null id is linked with nothing, has no component, and is kept.  An empty
     table gives no rows.
     """
@@ -327,14 +328,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     known = docs.where(F.col("doc_id").isNotNull())
     base = stored(_sketched(docs, shingle), "sketches")
     full = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    nodes = stored(full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "nodes")
+    # A node for each set; of the sets that one id stands for, that of the least hash.
+    nodes = full.groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
+    least = F.min_by(F.struct("sketch", "n"), F.struct("a", "b", "n")).alias("least")
+    sketches = stored(nodes.groupBy("id").agg(least).select("id", "least.sketch", "least.n"), "nodes")
 
     def to_bands(batches):
         for batch in batches:
             keys = band_keys(_matrix(batch.column(1)), rows_of_band) if batch.num_rows else np.zeros((0, REGISTERS // rows_of_band), np.int64)
             yield pa.RecordBatch.from_arrays([_ints(keys.ravel()), _ints(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["bucket", "id"])
 
-    bands = nodes.select("id", "sketch").mapInArrow(to_bands, "bucket long, id long")
+    bands = sketches.select("id", "sketch").mapInArrow(to_bands, "bucket long, id long")
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("bucket", "lead")
     members = stored(bands.join(buckets, "bucket"), "members")
 
@@ -345,7 +349,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                 passed = may_link(_matrix(batch.column(2)), _matrix(batch.column(4)), *sizes, percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(5)], names=["lead", "id", "n"]).filter(pa.array(passed))
 
-    sketches = nodes.groupBy("id").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     pairs = members.where("id <> lead").select("lead", "id").distinct()
     leaders = sketches.select(F.col("id").alias("lead"), F.col("sketch").alias("s1"), F.col("n").alias("n1"))
     pairs = pairs.join(sketches, "id").join(leaders, "lead").select("lead", "id", "s1", "n1", "sketch", "n")
@@ -388,7 +391,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     discard(members, pairs, counts, links, mixed, chances)
 
     # Empty sets take no part in the join: they would all meet in one key.
-    linked = nodes.select("a", "b", "n", "id").join(labels, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
+    linked = nodes.drop("sketch").join(labels, "id", "left").select("a", "b", "n", F.coalesce("component", "id").alias("component"))
     rows = base.select("doc_id", "n", "a", "b")
     out = rows.where("n > 0 and doc_id is not null").join(linked, ["a", "b", "n"]).select("doc_id", "n", "component")
     out = out.unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.lit(None).cast("bigint").alias("component")))
