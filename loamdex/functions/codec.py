@@ -1,71 +1,131 @@
-"""Integer-list codecs as Column expressions: four bytes an integer, and delta with variable-length bytes."""
+"""Integer-list codecs as Column expressions: four bytes an integer, and delta with variable-length bytes.
+
+Bytes are made and read in Arrow batches, all lists of a batch at once; built-in
+functions would evaluate several expressions a byte.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
 _EMPTY = "array<bigint>"
 
 
-def _hex(value: Column, digits: int) -> Column:
-    return F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(digits))
-
-
-def _bytes(data: Column) -> Column:
-    """The bytes of a binary value as integers."""
-    number = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("bigint")
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(1), F.length(data)), number)).otherwise(F.array().cast(_EMPTY))
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    """Where each list begins, and where the last one ends."""
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _integers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all lists, and the bounds of each; a null list is an empty one, null elements go."""
+    flat, bounds = lists.flatten(), _bounds(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    if flat.null_count:
+        bounds = _bounds(flat.is_valid().to_numpy(zero_copy_only=False))[bounds]
+        flat = flat.drop_null()
+    return flat.to_numpy(zero_copy_only=False).astype(np.int64, copy=False), bounds
+
+
+def _octets(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and the bounds of each; null is an empty value."""
+    data = data.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, held = data.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+    octets = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held is not None else np.zeros(0, np.uint8)
+    return octets, bounds - bounds[0]
+
+
+def _as_binary(octets: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(octets)]
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, buffers).cast(pa.binary())
+
+
+def _as_lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, pa.int64()))
+
+
+@F.arrow_udf(returnType=BinaryType())
+def _naive_spelled(lists: pa.Array) -> pa.Array:
+    values, bounds = _integers(lists)
+    return _as_binary(values.astype(np.uint32).astype(">u4").view(np.uint8), bounds * 4)
+
+
+@F.arrow_udf(returnType=ArrayType(LongType()))
+def _naive_read(data: pa.Array) -> pa.Array:
+    octets, bounds = _octets(data)
+    sizes = np.diff(bounds)
+    words = _bounds(-(-sizes // 4))
+    # A value's last word may be short; its bytes are the lowest.
+    at = np.arange(len(octets)) - np.repeat(bounds[:-1], sizes)
+    short = np.maximum(4 - (np.repeat(sizes, sizes) - at // 4 * 4), 0)
+    padded = np.zeros(4 * words[-1], np.uint8)
+    padded[4 * np.repeat(words[:-1], sizes) + at + short] = octets
+    return _as_lists(padded.view(">i4").astype(np.int64), words)
+
+
+@F.arrow_udf(returnType=BinaryType())
+def _delta_spelled(lists: pa.Array) -> pa.Array:
+    values, bounds = _integers(lists)
+    before = np.concatenate(([0], values[:-1]))[: len(values)]
+    before[bounds[:-1][np.diff(bounds) > 0]] = 0
+    if (values < before).any():
+        raise ValueError("delta_encode needs non-negative, non-decreasing integers")
+    gaps, widths = values - before, np.ones(len(values), np.int64)
+    for n in range(1, 9):
+        widths += gaps >= 1 << 7 * n
+    ends = _bounds(widths)
+    octets = np.empty(ends[-1], np.uint8)
+    for k in range(widths.max(initial=0)):
+        wide = np.flatnonzero(widths > k)
+        octets[ends[wide + 1] - 1 - k] = gaps[wide] >> 7 * k & 127 | (128 if k else 0)
+    return _as_binary(octets, ends[bounds])
+
+
+@F.arrow_udf(returnType=ArrayType(LongType()))
+def _delta_read(data: pa.Array) -> pa.Array:
+    octets, bounds = _octets(data)
+    final = octets < 128
+    ends = final.copy()
+    ends[bounds[1:][np.diff(bounds) > 0] - 1] = True  # no gap goes beyond its value
+    ends = np.flatnonzero(ends)
+    widths = np.diff(ends, prepend=-1)
+    gaps = np.zeros(len(ends), np.int64)
+    for k in range(min(widths.max(initial=0), 10)):  # higher groups lie beyond 64 bits
+        wide = np.flatnonzero(widths > k)
+        gaps[wide] |= (octets[ends[wide] - k] & 127).astype(np.int64) << 7 * k
+    whole = final[ends]  # a gap without its last byte is none
+    sums = _bounds(gaps[whole])
+    bounds = np.searchsorted(ends[whole], bounds)
+    return _as_lists(sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds)), bounds)
 
 
 def naive_encode(values: Column) -> Column:
     """Big-endian, four bytes an integer; null and [] give no bytes."""
-    return F.unhex(F.array_join(F.transform(F.coalesce(values, F.array().cast(_EMPTY)), lambda x: _hex(x, 8)), ""))
+    return _naive_spelled(values.cast(_EMPTY))
 
 
 def naive_decode(data: Column) -> Column:
-    parts = F.when(F.length(data) > 0, F.sequence(F.lit(1), F.length(data), F.lit(4))).otherwise(F.array().cast("array<int>"))
-    unsigned = F.transform(parts, lambda i: F.conv(F.hex(F.substring(data, i, F.lit(4))), 16, 10).cast("bigint"))
-    return F.transform(unsigned, lambda x: F.when(x >= 1 << 31, x - (1 << 32)).otherwise(x))
+    return _naive_read(data)
 
 
 def delta_encode(values: Column) -> Column:
     """Gaps of non-decreasing, non-negative integers, in 7-bit groups, highest first; 0x80 marks all but a gap's last byte.  Others raise."""
-    values = F.coalesce(values, F.array().cast(_EMPTY)).cast(_EMPTY)
-    gaps = F.zip_with(values, F.concat(F.array(F.lit(0).cast("bigint")), values), lambda a, b: a - F.coalesce(b, a))
-    gaps = F.slice(gaps, 1, F.greatest(F.size(values), F.lit(0)))
-
-    def spelled(gap: Column) -> Column:
-        group = lambda k, last: _hex(F.shiftright(gap, 7 * k).bitwiseAND(F.lit(127)).bitwiseOR(F.lit(0 if last else 128)), 2)
-        out = F.when(gap < 0, F.raise_error(F.lit("delta_encode needs non-negative, non-decreasing integers")).cast("string"))
-        groups = lambda n: F.concat(*(group(k, k == 0) for k in range(n - 1, -1, -1)))
-        for n in range(1, 9):
-            out = out.when(gap < 1 << 7 * n, groups(n))
-        return out.otherwise(groups(9))
-
-    return F.unhex(F.array_join(F.transform(gaps, spelled), ""))
+    return _delta_spelled(values.cast(_EMPTY))
 
 
 def delta_decode(data: Column, start: Column | None = None, length: Column | None = None) -> Column:
     """The integers of data, or of length bytes from start on; null where that range is negative or out of bounds."""
-    inside = F.lit(True)
-    if start is not None and length is not None:
-        inside = (length >= 0) & (start >= 0) & (start + length <= F.length(data))
-        data = F.substring(data, start + 1, F.greatest(length, F.lit(0)))
-    zero = F.struct(F.array().cast(_EMPTY).alias("out"), F.lit(0).cast("bigint").alias("gap"), F.lit(0).cast("bigint").alias("last"))
-
-    def step(acc: Column, b: Column) -> Column:
-        gap = F.shiftleft(acc["gap"], 7).bitwiseOR(b.bitwiseAND(F.lit(127)))
-        value = acc["last"] + gap
-        ends = b < 128
-        out = F.when(ends, F.concat(acc["out"], F.array(value))).otherwise(acc["out"])
-        rest = F.when(ends, F.lit(0).cast("bigint")).otherwise(gap)
-        return F.struct(out.alias("out"), rest.alias("gap"), F.when(ends, value).otherwise(acc["last"]).alias("last"))
-
-    return F.when(inside, F.aggregate(_bytes(data), zero, step, lambda acc: acc["out"]))
+    if start is None or length is None:
+        return _delta_read(data)
+    inside = (length >= 0) & (start >= 0) & (start + length <= F.length(data))
+    return F.when(inside, _delta_read(F.substring(data, start + 1, F.greatest(length, F.lit(0)))))
 
 
 def delta_size(values: Column) -> Column:

@@ -21,6 +21,8 @@ FLUSH_DOCS, MERGE_SEGMENTS = 1000, 8
 SEGMENT_BYTES = 256 << 20
 #: Manifests whose files stay when old ones are removed.
 KEPT_VERSIONS = 2
+#: Texts whose postings are gathered at once, and texts (about) of a task that makes postings, where these are many.
+GATHERED_ROWS, TASK_DOCS = 500, 500
 
 
 def assign_segments(docs: DataFrame, threshold: int = FLUSH_DOCS) -> DataFrame:
@@ -31,11 +33,54 @@ def assign_segments(docs: DataFrame, threshold: int = FLUSH_DOCS) -> DataFrame:
 
 
 def build_postings(docs: DataFrame, analyzer: Analyzer, positional: bool = True) -> DataFrame:
-    """(term, doc_id, tf, positions) of docs (doc_id, text); with segment_id and local_id if docs has them."""
+    """(term, doc_id, tf, positions) of docs (doc_id, text); with segment_id and local_id if docs has them.
+
+    Positions are gathered text by text, and nothing is shuffled for them; only
+    where a doc_id comes again (and no local_id tells its texts apart) are the
+    lists of an id put together.
+    """
     own = [c for c in ("segment_id", "local_id") if c in docs.columns]
-    found = analyzer.occurrences(docs, *own)
-    aggs = [F.count(F.lit(1)).alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positional else [])
-    return found.groupBy(*own, "term", "doc_id").agg(*aggs)
+    if not positional:
+        return analyzer.occurrences(docs, *own).groupBy(*own, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    found = _gathered(analyzer.analyzed(docs, *own), own)
+    if len(own) == 2 or docs.groupBy(*own, "doc_id").count().where("count > 1").isEmpty():
+        return found
+    whole = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
+    return found.groupBy(*own, "term", "doc_id").agg(F.sum("tf").alias("tf"), whole)
+
+
+def _gathered(analyzed: DataFrame, own: list[str]) -> DataFrame:
+    """(own columns, term, doc_id, tf, positions) of (own columns, doc_id, terms): a row for each term of each row."""
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in analyzed.schema][:-1]
+    schema = ", ".join([*kinds[:-1], "term string", kinds[-1], "tf long", "positions array<int>"])
+    names = [*own, "term", "doc_id", "tf", "positions"]
+    rows = GATHERED_ROWS
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+            lists = batch.column(batch.num_columns - 1)
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode(null_encoding="encode")
+            codes = coded.indices.to_numpy().astype(np.int64)
+            if not len(codes):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            pos = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            keys = row * len(coded.dictionary) + codes
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            bounds = np.append(first, len(keys))
+            held = [c.take(pa.array(row[order[first]])) for c in batch.columns[:-1]]
+            positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pos[order]))
+            terms = coded.dictionary.take(pa.array(codes[order[first]]))
+            yield pa.RecordBatch.from_arrays([*held[:-1], terms, held[-1], pa.array(np.diff(bounds)), positions], names=names)
+
+    return analyzed.mapInArrow(run, schema)
 
 
 def inverted_lists(postings: DataFrame) -> DataFrame:
