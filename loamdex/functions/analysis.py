@@ -27,7 +27,7 @@ _JAVA_CLASS = r"[,.;?! ^\f\n\r\t\v]"
 
 def punctuation_tokens(text: Column) -> Column:
     """Lower-cased pieces between delimiters, without empty pieces and stop words; null and '' give []."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit("".join(map(chr, range(0x21)))))
     return F.filter(F.split(F.lower(trimmed), _JAVA_CLASS), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 

@@ -150,12 +150,16 @@ def naive_size(values: Column) -> Column:
 
 @dataclass(frozen=True)
 class Compressor:
-    """A codec of integer lists, as an index stores them; any pair of such Column functions makes one."""
+    """A codec of integer lists, as an index stores them; any pair of such Column functions makes one.
+
+    spelled, if given, is encode on an Arrow array, for where lists are made in Arrow batches anyway.
+    """
 
     name: str
     encode: Callable[[Column], Column]
     decode: Callable[[Column], Column]
+    spelled: Callable[[pa.Array], pa.Array] | None = None
 
 
-NAIVE = Compressor("naive", naive_encode, naive_decode)
-DELTA = Compressor("delta", delta_encode, delta_decode)
+NAIVE = Compressor("naive", naive_encode, naive_decode, _naive_spelled.func)
+DELTA = Compressor("delta", delta_encode, delta_decode, _delta_spelled.func)

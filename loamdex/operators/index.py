@@ -6,7 +6,7 @@ import json
 import uuid
 from collections.abc import Callable
 from contextlib import suppress
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +32,8 @@ def assign_segments(docs: DataFrame, threshold: int = FLUSH_DOCS) -> DataFrame:
     return rows.select(*docs.columns, F.floor(at / threshold).cast("int").alias("segment_id"), (at % threshold).cast("int").alias("local_id"))
 
 
-def build_postings(docs: DataFrame, analyzer: Analyzer, positional: bool = True) -> DataFrame:
-    """(term, doc_id, tf, positions) of docs (doc_id, text); with segment_id and local_id if docs has them.
+def build_postings(docs: DataFrame, analyzer: Analyzer, positional: bool = True, compressor: Compressor | None = None) -> DataFrame:
+    """(term, doc_id, tf, positions) of docs (doc_id, text); with segment_id and local_id if docs has them.  compressor: positions are its bytes.
 
     Positions are gathered text by text, and nothing is shuffled for them; only
     where a doc_id comes again (and no local_id tells its texts apart) are the
@@ -42,17 +42,26 @@ def build_postings(docs: DataFrame, analyzer: Analyzer, positional: bool = True)
     own = [c for c in ("segment_id", "local_id") if c in docs.columns]
     if not positional:
         return analyzer.occurrences(docs, *own).groupBy(*own, "term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    encoded = lambda rows: rows if compressor is None else rows.withColumn("positions", compressor.encode(F.col("positions").cast("array<bigint>")))
+    if len(own) == 2:
+        spelled = compressor.spelled if compressor is not None else None
+        found = _gathered(analyzer.analyzed(docs, *own), own, spelled)
+        return found if spelled else encoded(found)
     found = _gathered(analyzer.analyzed(docs, *own), own)
-    if len(own) == 2 or docs.groupBy(*own, "doc_id").count().where("count > 1").isEmpty():
-        return found
+    if docs.groupBy(*own, "doc_id").count().where("count > 1").isEmpty():
+        return encoded(found)
     whole = F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")
-    return found.groupBy(*own, "term", "doc_id").agg(F.sum("tf").alias("tf"), whole)
+    return encoded(found.groupBy(*own, "term", "doc_id").agg(F.sum("tf").alias("tf"), whole))
 
 
-def _gathered(analyzed: DataFrame, own: list[str]) -> DataFrame:
-    """(own columns, term, doc_id, tf, positions) of (own columns, doc_id, terms): a row for each term of each row."""
+def _gathered(analyzed: DataFrame, own: list[str], spelled: Callable | None = None) -> DataFrame:
+    """(own columns, term, doc_id, tf, positions) of (own columns, doc_id, terms): a row for each term of each row.
+
+    With segments, rows of a batch come by segment and term, as an index sorts
+    them: a sort that meets long ordered runs has little to compare.
+    """
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in analyzed.schema][:-1]
-    schema = ", ".join([*kinds[:-1], "term string", kinds[-1], "tf long", "positions array<int>"])
+    schema = ", ".join([*kinds[:-1], "term string", kinds[-1], "tf long", f"positions {'binary' if spelled else 'array<int>'}"])
     names = [*own, "term", "doc_id", "tf", "positions"]
     rows = GATHERED_ROWS
 
@@ -71,12 +80,18 @@ def _gathered(analyzed: DataFrame, own: list[str]) -> DataFrame:
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             keys = row * len(coded.dictionary) + codes
+            if "segment_id" in own:
+                segment = np.unique(batch.column(own.index("segment_id")).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+                ranks = np.empty(len(coded.dictionary), np.int64)
+                ranks[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(ranks))
+                keys = (segment[row] * len(ranks) + ranks[codes]) * len(sizes) + row
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             bounds = np.append(first, len(keys))
             held = [c.take(pa.array(row[order[first]])) for c in batch.columns[:-1]]
             positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pos[order]))
+            positions = spelled(positions) if spelled else positions
             terms = coded.dictionary.take(pa.array(codes[order[first]]))
             yield pa.RecordBatch.from_arrays([*held[:-1], terms, held[-1], pa.array(np.diff(bounds)), positions], names=names)
 
@@ -263,20 +278,52 @@ class Index:
         rows = self._table("postings", None, keep_bytes=True)
         return rows.agg(F.coalesce(F.sum(F.length("positions").cast("long")), F.lit(0)).alias("bytes"))
 
-    def _write(self, docs: DataFrame, postings: DataFrame, name: str) -> dict:
-        """Both tables under one name, and the sizes of the segments that they hold."""
-        if self.positional and self.compressor is not None:
-            postings = postings.withColumn("positions", self.compressor.encode(F.col("positions").cast("array<bigint>")))
-        docs.write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
-        # Sorted by term, so that a look-up skips row groups by their statistics.
-        dealt = postings.repartitionByRange("segment_id", "term").sortWithinPartitions("segment_id", "term", "local_id")
-        dealt.write.mode("overwrite").parquet(f"{self.path}/postings/{name}")
+    def _write(self, docs: DataFrame, postings: DataFrame | None, name: str) -> dict:
+        """Both tables under one name, and the sizes of the segments that they hold; without postings, those of docs are made."""
         batch = {"name": name, "first": 0}
+        docs.write.mode("overwrite").parquet(f"{self.path}/docs/{name}")
         counts = self._read("docs", [batch]).groupBy("segment_id").agg(F.count(F.lit(1)).alias("docs"))
         counts.write.mode("overwrite").parquet(f"{self.path}/segments/{name}")
         size = self._read("segments", [batch]).agg(F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs")).first()
+        if postings is None:
+            made = self._postings_of(batch, size.docs)
+        else:
+            made = self._encoded(postings).repartitionByRange("segment_id", "term")
+        # Sorted by term, so that a look-up skips row groups by their statistics.
+        columns = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
+        made.select(*columns).sortWithinPartitions("segment_id", "term", "local_id").write.mode("overwrite").parquet(f"{self.path}/postings/{name}")
         return {**batch, "segments": size.segments, "docs": size.docs}
 
+    def _postings_of(self, batch: dict, docs: int) -> DataFrame:
+        """Postings of a batch's stored documents, a task a range of segments or a part of one.
+
+        The documents are dealt, not their many postings: these are made where
+        they are sorted and written, and nothing is analyzed twice to find ranges.
+        """
+        held = self._read("docs", [batch])
+        if not self.positional:
+            return build_postings(held, self.analyzer, False).repartitionByRange("segment_id", "term")
+        tasks = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-docs // TASK_DOCS))
+        dealt = held.repartitionByRange(max(1, tasks), "segment_id", "local_id").sortWithinPartitions("segment_id", "local_id")
+        return build_postings(dealt, self.analyzer, compressor=self.compressor)
+
+    def _encoded(self, postings: DataFrame) -> DataFrame:
+        if not self.positional or self.compressor is None:
+            return postings
+        return postings.withColumn("positions", self.compressor.encode(F.col("positions").cast("array<bigint>")))
+
+    def copy(self, path: str, compressor: Compressor | None = None) -> Index:
+        """The current state in a new folder, with positions under another codec; nothing is analyzed or sorted again."""
+        out, state = replace(self, path=path, compressor=compressor), self.manifest()
+        for b in state["batches"]:
+            batch = {**b, "first": 0}
+            for kind in ("docs", "segments", "postings"):
+                rows = self._read(kind, [batch])
+                rows = out._encoded(rows) if kind == "postings" else rows
+                rows.write.mode("overwrite").parquet(f"{path}/{kind}/{b['name']}")
+        out._publish({**state, "version": 0})
+        return out
+
     def _threshold(self, docs: DataFrame) -> int:
         size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
         return max(FLUSH_DOCS, int(SEGMENT_BYTES * size.n / max(1, size.bytes or 0)))
@@ -290,9 +337,7 @@ class Index:
             return
         docs = docs.select(F.col("doc_id").cast("long"), "text")
         dealt = assign_segments(docs, threshold or self._threshold(docs)).select("doc_id", "text", "local_id", "segment_id")
-        postings = build_postings(dealt, self.analyzer, self.positional)
-        columns = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
-        batch = self._write(dealt, postings.select(*columns), uuid.uuid4().hex if stream is None else f"{stream[0]}-{stream[1]}")
+        batch = self._write(dealt, None, uuid.uuid4().hex if stream is None else f"{stream[0]}-{stream[1]}")
 
         def change(state: dict) -> dict:
             first = sum(b["segments"] for b in state["batches"])
@@ -319,8 +364,7 @@ class Index:
         rows = self._table("postings", None, state)
         rows = rows.where(~F.col("term").isin(state["deleted"])) if state["deleted"] else rows
         docs, postings = (merge_segments(t, counts) for t in (self._table("docs", None, state), rows))
-        columns = ["term", "doc_id", "local_id", "tf", *(["positions"] if self.positional else []), "segment_id"]
-        batch = self._write(docs.select("doc_id", "text", "local_id", "segment_id"), postings.select(*columns), uuid.uuid4().hex)
+        batch = self._write(docs.select("doc_id", "text", "local_id", "segment_id"), postings, uuid.uuid4().hex)
         merged = {b["name"] for b in state["batches"]}
 
         def change(now: dict) -> dict:

@@ -177,6 +177,32 @@ def test_ids_may_repeat_over_segments(spark, tmp_path):
     assert index.load(7) is None and [r.doc_id for r in index.lookup("apple").collect()] == [5, 5]
 
 
+def test_an_index_is_analyzed_once_for_both_codecs(spark, tmp_path, monkeypatch):
+    calls = []
+    real = operators.build_postings
+    monkeypatch.setattr(operators, "build_postings", lambda docs, *a, **k: calls.append(docs) or real(docs, *a, **k))
+    assert catalog.index_codec_bytes(spark, SF).count() == 1 and len(calls) == 1
+    monkeypatch.setattr(operators, "TASK_DOCS", 2)
+    docs = spark.createDataFrame([(i % 9, f"red apple {'pie ' * (i % 4)}z{i % 3}") for i in range(30)], "doc_id long, text string")
+    plain = Index(spark, f"file://{tmp_path}/plain", merge_at=99)
+    plain.add(docs, 7)
+    plain.add(docs, 100)
+    plain.delete_term("apple")
+    rows = lambda i: sorted(map(tuple, i.postings().select("segment_id", "local_id", "term", "doc_id", "tf", "positions").collect()))
+    bare = codec.Compressor("bare", codec.delta_encode, codec.delta_decode)
+    for c in (codec.NAIVE, codec.DELTA, bare, None):
+        copy = plain.copy(f"file://{tmp_path}/{c and c.name}-copy", c)
+        again = Index(spark, f"file://{tmp_path}/{c and c.name}", merge_at=99, compressor=c)
+        again.add(plain.documents().where("segment_id < 5").select("doc_id", "text"), 7)
+        assert rows(copy) == rows(plain) and copy.num_segments == 6 and copy.num_documents() == 60 and copy.documents().count() == 60
+        assert copy.manifest()["deleted"] == ["apple"]
+        if c is not None:
+            assert 2 * again.stored_bytes().first()[0] == copy.stored_bytes().first()[0] == plain.copy(f"file://{tmp_path}/{c.name}-2", c).stored_bytes().first()[0]
+    # each file of a flush lies by segment, term and local id
+    files = [[(r.segment_id, r.term, r.local_id) for r in spark.read.parquet(str(f)).coalesce(1).collect()] for f in (tmp_path / "plain/postings").glob("*/*.parquet")]
+    assert len(files) > 2 and all(f == sorted(f) for f in files)
+
+
 def test_streams_add_each_batch_once(spark, tmp_path):
     index = Index(spark, f"file://{tmp_path}/index", merge_at=99)
     (tmp_path / "in").mkdir()
