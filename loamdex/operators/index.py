@@ -98,6 +98,49 @@ def _gathered(analyzed: DataFrame, own: list[str], spelled: Callable | None = No
     return analyzed.mapInArrow(run, schema)
 
 
+def _nested(postings: DataFrame) -> DataFrame:
+    """(segment_id, postings) of stored postings: a row a segment, with the list of each term, by term and local id.
+
+    Runs of a segment's rows are packed, so that few rows and compressed columns are shuffled.
+    """
+    entry = [c for c in ("local_id", "tf", "positions") if c in postings.columns]
+    kinds = ", ".join(f"{c}: {postings.schema[c].dataType.simpleString()}" for c in entry)
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            segments = batch.column(0).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(segments, prepend=-1)).tolist()
+            parts = []
+            for a, b in zip(starts, [*starts[1:], len(segments)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, pa.schema(list(batch.schema)[1:]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).slice(a, b - a))
+                parts.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(segments[starts], pa.int32()), pa.array(parts, pa.binary())], names=["segment_id", "part"])
+
+    def run(packed):
+        import numpy as np
+        import pyarrow as pa
+
+        table = pa.concat_tables(pa.ipc.open_stream(part).read_all() for part in packed.column("part").to_pylist())
+        table = table.sort_by([("term", "ascending"), ("local_id", "ascending")]).combine_chunks()
+        held = lambda name: pa.concat_arrays(table.column(name).chunks)
+        coded = held("term").dictionary_encode(null_encoding="encode")  # terms are in order, so codes ascend
+        codes = coded.indices.to_numpy()
+        bounds = np.searchsorted(codes, np.arange(len(coded.dictionary) + 1))
+        entries = pa.StructArray.from_arrays([held(c) for c in entry], names=entry)
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)
+        terms = pa.StructArray.from_arrays([coded.dictionary, lists], names=["term", "list"])
+        whole = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms)
+        return pa.table({"segment_id": packed.column("segment_id").slice(0, 1), "postings": whole})
+
+    packed = postings.select("segment_id", "term", *entry).mapInArrow(pack, "segment_id int, part binary")
+    return packed.groupBy("segment_id").applyInArrow(run, f"segment_id int, postings array<struct<term: string, list: array<struct<{kinds}>>>>")
+
+
 def inverted_lists(postings: DataFrame) -> DataFrame:
     """(term, doc_ids): ascending ids of each term; the nested view of the postings, for export."""
     return postings.groupBy("term").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
@@ -250,15 +293,12 @@ class Index:
         """The posting list of one analyzed term, by segment and local id; files are sorted by term, so few row groups are read."""
         return self.postings(segment).where(F.col("term") == term).orderBy("segment_id", "local_id")
 
-    def load(self, segment: int) -> DataFrame | None:
-        """A whole segment as one nested row (segment_id, documents, postings); None if it has no documents."""
+    def load(self, segment: int | None = None) -> DataFrame | None:
+        """A whole segment as one nested row (segment_id, documents, postings), or all of them, a row each; None if there are no documents."""
         if not self.num_documents(segment):
             return None
         docs = self.documents(segment).groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("local_id", "doc_id", "text"))).alias("documents"))
-        entry = F.struct("local_id", "tf", *(["positions"] if self.positional else []))
-        lists = self.postings(segment, hidden=False).groupBy("segment_id", "term").agg(F.sort_array(F.collect_list(entry)).alias("list"))
-        lists = lists.groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("term", "list"))).alias("postings"))
-        return docs.join(lists, "segment_id", "left")
+        return docs.join(_nested(self.postings(segment, hidden=False)), "segment_id", "left")
 
     @property
     def num_segments(self) -> int:

@@ -417,8 +417,9 @@ def index_lookup(s, d):
 
 def index_load(s, d):
     """The nested load of every segment, laid out again."""
-    held = _index(s, d)
-    loaded = reduce(DataFrame.unionByName, (held.load(i) for i in range(held.num_segments)))
+    loaded = _index(s, d).load()
+    if loaded is None:
+        return s.createDataFrame([], "segment_id int, docs long, term string, ids string")
     # The documents are counted before the lists are laid out, else each list would carry them.
     rows = loaded.select("segment_id", F.size("documents").alias("docs"), "postings").select("segment_id", "docs", F.explode("postings").alias("p")).select("segment_id", "docs", "p.*")
     ids = F.array_join(F.transform("list", lambda x: x["local_id"].cast("string")), ",")

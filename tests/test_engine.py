@@ -203,6 +203,20 @@ def test_an_index_is_analyzed_once_for_both_codecs(spark, tmp_path, monkeypatch)
     assert len(files) > 2 and all(f == sorted(f) for f in files)
 
 
+@pytest.mark.parametrize("compressor", [None, codec.DELTA])
+def test_all_segments_load_by_one_plan(spark, tmp_path, compressor):
+    index = Index(spark, f"file://{tmp_path}/index", merge_at=1 << 30, compressor=compressor)
+    assert index.load() is None
+    index.add(spark.createDataFrame([(i, f"red {'pie ' * (i % 3)}z{i % 2}" if i != 40 else "the") for i in range(41)], "doc_id long, text string"), 1)
+    index.add(spark.createDataFrame([(7, "b c b"), (8, "c")], "doc_id long, text string"))
+    rows = {r.segment_id: r for r in index.load().collect()}
+    assert sorted(rows) == list(range(42)) and rows[40].postings is None and [d.text for d in rows[40].documents] == ["the"]
+    assert [(p.term, [tuple(x) for x in p.list]) for p in rows[41].postings] == [("b", [(0, 2, [0, 2])]), ("c", [(0, 1, [1]), (1, 1, [0])])]
+    assert rows[5] == index.load(5).first() and [p.term for p in rows[5].postings] == ["pie", "red", "z1"]
+    scans = lambda n: catalog.QUERIES["index_load"](spark, n)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans(SF) == scans(SF.replace("0.001", "0.01")) == 2  # however many segments there are
+
+
 def test_streams_add_each_batch_once(spark, tmp_path):
     index = Index(spark, f"file://{tmp_path}/index", merge_at=99)
     (tmp_path / "in").mkdir()
