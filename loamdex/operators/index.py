@@ -98,47 +98,61 @@ def _gathered(analyzed: DataFrame, own: list[str], spelled: Callable | None = No
     return analyzed.mapInArrow(run, schema)
 
 
-def _nested(postings: DataFrame) -> DataFrame:
-    """(segment_id, postings) of stored postings: a row a segment, with the list of each term, by term and local id.
+def _packed(rows: DataFrame) -> DataFrame:
+    """(segment_id, part) of rows (segment_id, ...): runs of a segment's rows as compressed Arrow data, so that a shuffle has little to move."""
 
-    Runs of a segment's rows are packed, so that few rows and compressed columns are shuffled.
-    """
-    entry = [c for c in ("local_id", "tf", "positions") if c in postings.columns]
-    kinds = ", ".join(f"{c}: {postings.schema[c].dataType.simpleString()}" for c in entry)
-
-    def pack(batches):
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            segments = batch.column(0).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.diff(segments, prepend=-1)).tolist()
-            parts = []
+            segments, schema = batch.column(0).to_numpy(zero_copy_only=False), pa.schema(list(batch.schema)[1:])
+            rest = pa.RecordBatch.from_arrays(batch.columns[1:], schema=schema)
+            starts, parts = np.flatnonzero(np.diff(segments, prepend=-1)).tolist(), []
             for a, b in zip(starts, [*starts[1:], len(segments)], strict=True):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema(list(batch.schema)[1:]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(pa.RecordBatch.from_arrays(batch.columns[1:], schema=pa.schema(list(batch.schema)[1:])).slice(a, b - a))
+                with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rest.slice(a, b - a))
                 parts.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(segments[starts], pa.int32()), pa.array(parts, pa.binary())], names=["segment_id", "part"])
 
-    def run(packed):
+    return rows.mapInArrow(run, "segment_id int, part binary")
+
+
+def _nested(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """(segment_id, documents, postings): a row a segment of docs, documents by local id, and the list of each term by term and local id."""
+    entry = [c for c in ("local_id", "tf", "positions") if c in postings.columns]
+    kinds = ", ".join(f"{c}: {postings.schema[c].dataType.simpleString()}" for c in entry)
+
+    def run(docs, postings):
         import numpy as np
         import pyarrow as pa
 
-        table = pa.concat_tables(pa.ipc.open_stream(part).read_all() for part in packed.column("part").to_pylist())
-        table = table.sort_by([("term", "ascending"), ("local_id", "ascending")]).combine_chunks()
-        held = lambda name: pa.concat_arrays(table.column(name).chunks)
-        coded = held("term").dictionary_encode(null_encoding="encode")  # terms are in order, so codes ascend
-        codes = coded.indices.to_numpy()
-        bounds = np.searchsorted(codes, np.arange(len(coded.dictionary) + 1))
-        entries = pa.StructArray.from_arrays([held(c) for c in entry], names=entry)
-        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), entries)
-        terms = pa.StructArray.from_arrays([coded.dictionary, lists], names=["term", "list"])
-        whole = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms)
-        return pa.table({"segment_id": packed.column("segment_id").slice(0, 1), "postings": whole})
+        def table(packed, *order):
+            rows = pa.concat_tables(pa.ipc.open_stream(part).read_all() for part in packed.column("part").to_pylist())
+            rows = rows.sort_by([(c, "ascending") for c in order])
+            return {c: pa.concat_arrays(rows.column(c).chunks) for c in rows.column_names}
+
+        def one(values):
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        held = table(docs, "local_id", "doc_id", "text")
+        names = ["local_id", "doc_id", "text"]
+        documents = one(pa.StructArray.from_arrays([held[c] for c in names], names=names))
+        element = pa.struct([("term", pa.string()), ("list", pa.list_(pa.struct([("local_id", pa.int32()), ("tf", pa.int64()), ("positions", pa.list_(pa.int32()))][: len(entry)])))])
+        if not postings.num_rows:
+            terms = pa.nulls(1, pa.list_(element))
+        else:
+            held = table(postings, "term", "local_id")
+            coded = held["term"].dictionary_encode(null_encoding="encode")  # terms are in order, so codes ascend
+            bounds = np.searchsorted(coded.indices.to_numpy(), np.arange(len(coded.dictionary) + 1))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([held[c] for c in entry], names=entry))
+            terms = one(pa.StructArray.from_arrays([coded.dictionary, lists], names=["term", "list"]))
+        return pa.table({"segment_id": docs.column("segment_id").slice(0, 1), "documents": documents, "postings": terms})
 
-    packed = postings.select("segment_id", "term", *entry).mapInArrow(pack, "segment_id int, part binary")
-    return packed.groupBy("segment_id").applyInArrow(run, f"segment_id int, postings array<struct<term: string, list: array<struct<{kinds}>>>>")
+    left, right = (_packed(rows.select("segment_id", *columns)).groupBy("segment_id") for rows, columns in ((docs, ["local_id", "doc_id", "text"]), (postings, ["term", *entry])))
+    documents = "array<struct<local_id: int, doc_id: bigint, text: string>>"
+    return left.cogroup(right).applyInArrow(run, f"segment_id int, documents {documents}, postings array<struct<term: string, list: array<struct<{kinds}>>>>")
 
 
 def inverted_lists(postings: DataFrame) -> DataFrame:
@@ -297,8 +311,7 @@ class Index:
         """A whole segment as one nested row (segment_id, documents, postings), or all of them, a row each; None if there are no documents."""
         if not self.num_documents(segment):
             return None
-        docs = self.documents(segment).groupBy("segment_id").agg(F.sort_array(F.collect_list(F.struct("local_id", "doc_id", "text"))).alias("documents"))
-        return docs.join(_nested(self.postings(segment, hidden=False)), "segment_id", "left")
+        return _nested(self.documents(segment), self.postings(segment, hidden=False))
 
     @property
     def num_segments(self) -> int:
